@@ -5,37 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds at least 1/HOT_SHARE of the rows, so there are at
-#: most HOT_SHARE hot keys whatever the data: the size bound of the broadcast.
-HOT_SHARE = 2000
 
+def join_unique(big: DataFrame, small: DataFrame, keys: str | list[str], how: str = "left") -> DataFrame:
+    """Join ``big`` to ``small``, which has at most one row per key.
 
-def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "left", share: int = HOT_SHARE) -> DataFrame:
-    """Join ``big`` to ``small`` (at most one row per ``key``) on ``key``.
-
-    Rows of hot keys are matched by a broadcast of those keys' rows only (at
-    most ``share`` rows, see HOT_SHARE); all other rows meet in an ordinary
-    shuffle join, where no key is large. Null keys match nothing and are spread
-    by a random salt, so they make no hot partition either.
-    ``how`` is 'left' or 'inner'. Columns of ``small`` must not clash with
-    those of ``big`` but for ``key``.
+    Written as a merge join on purpose: it streams the rows of ``big`` past one
+    row of ``small``, so a hot key costs no memory, and as nothing downstream
+    asks for its partitioning, the adaptive skew join splits the hot partition
+    of ``big`` over tasks and sends each the one matching row. Nothing is
+    broadcast whose size is not known.
     """
-    counts = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = big.select(F.count(F.lit(1)).alias("__all"))
-    hot = counts.crossJoin(F.broadcast(total)).where(F.col("__n") * share >= F.col("__all")).select(key)
-    hot = hot.limit(share)  # never binds: at most `share` keys can hold 1/share of the rows each
-    marks = hot.withColumn("__hot", F.lit(True))
-    tagged = big.join(F.broadcast(marks), key, "left")
-    hot_small = small.join(F.broadcast(hot), key, "left_semi")
-    is_hot = F.col("__hot").isNotNull()
-    cold = tagged.where(~is_hot & F.col(key).isNotNull()).drop("__hot").join(small, key, how)
-    warm = tagged.where(is_hot).drop("__hot").join(F.broadcast(hot_small), key, how)
-    out = cold.unionByName(warm)
-    if how == "left":
-        extra = [c for c in small.columns if c != key]
-        nulls = tagged.where(F.col(key).isNull()).drop("__hot")
-        out = out.unionByName(nulls.select("*", *[F.lit(None).cast(small.schema[c].dataType).alias(c) for c in extra]))
-    return out
+    return big.join(small.hint("merge"), keys, how)
 
 
 def salted(key: Column, by: Column, n: int) -> Column:
