@@ -80,14 +80,13 @@ def _round_part(final: bool):
         for f in frames:
             out = []
             for source, g in f.groupby("source", sort=True):
-                if source in held:
-                    g = pd.concat([held.pop(source), g])
+                g = pd.concat([held.pop(source), g], ignore_index=True) if source in held else g.reset_index(drop=True)
                 p, hold = pivot(g["p"].to_numpy(), g["n_tokens"].to_numpy(), g["u"].to_numpy())
                 g = g.assign(p=p, extra=np.round(p).astype("int32"), left=False)
                 if hold >= 0:
                     held[source] = g.iloc[[hold]].assign(p=p[hold])
-                    g = g.drop(index=g.index[hold])
-                out.append(g.reset_index(drop=True))
+                    g = g.drop(index=hold)
+                out.append(g)
             if out:
                 yield pd.concat(out)
         if held:

@@ -43,11 +43,14 @@ AFTER_HANGING = frozenset("and or nor to und oder et ou y o as".split())
 HEADER_TAILS = frozenset("# vol no pp issue".split())
 HYPHENS = "-‐‑"
 SOFT = "\xad¬"
+_DIVIDING = frozenset(HYPHENS + SOFT)
 
 #: A word must be this many times as frequent as the word it corrects.
 FREQUENCY_RATIO = 8.0
 #: The same for words of a shape that no word has.
 ODD_RATIO = 1.5
+#: The same for words without neighbours.
+LONE_RATIO = 8.0
 #: Cosine that vectors must reach: for words with a character that no word has, for others, and for short others.
 SIM_ODD, SIM_PLAIN = -0.2, 0.2
 MIN_LENGTH = 4
@@ -61,19 +64,54 @@ MAX_BROADCAST = 400_000
 #: Marks of known words: table size and the count that makes a word known.
 KNOWN_BUCKETS, KNOWN_COUNT = 1 << 20, 4
 
-_TOKEN = re.compile(r"[^\W_]+(?:![^\W\d_][^\W_]*)*\x01?|[\r\n]+|  +| [/·] |\x02")
-_BROKEN = re.compile(rf"[{HYPHENS}{SOFT}][ \t]*(?=[\r\n])")
 _WORD = re.compile(r"[^\W_]+(?:![^\W\d_][^\W_]*)*")
 _SEGMENTS = re.compile(r"  +| [/·] ")
 _LINES = re.compile(r"\r\n|[\r\n\v\f\x85  ]")
 _PAGE = re.compile(r"(?:(?:page|seite|p\.|pp\.|s\.)\s*)?(?:s-?)?\d{1,5}|[-–—]\s*\d{1,5}\s*[-–—]|\[\s*\d{1,5}\s*\]|\d{1,5}\s*\|\s*\d{1,5}", re.I)
 _CLEAR_PAGE = r"page\s*\d{1,5}|p\.\s*\d{1,5}|s-\d{1,5}|[-–—]\s*\d{1,5}\s*[-–—]|\[\d{1,5}\]|\d{1,5}\s*\|\s*\d{1,5}"
-_TAIL_PAGE = re.compile(rf"^(.*\S)\s+({_CLEAR_PAGE}|\d{{1,5}})$", re.I | re.S)
+_TAIL_PAGE = re.compile(rf"^(.*?\S)\s+({_CLEAR_PAGE}|\d{{1,5}})$", re.I | re.S)
 _HEAD_PAGE = re.compile(rf"^({_CLEAR_PAGE}|\d{{1,5}})\s+(\S.*)$", re.I | re.S)
 _CHARGED = re.compile(rf"(?:[\])]\d*|(?:^|[^\w])(?:\w*(?:Sb|Cl|Br|F|I|At)\d*))[{HYPHENS}]$")
+#: Of the glyph pairs above, those of one sign that is no letter of the word, for words too short to be linked.
+_ONE_GLYPH = str.maketrans({a: b for a, b in reversed(GLYPHS) if len(a) == len(b) == 1 and not (a.isascii() and a.isalpha())})
 _ODD = re.compile(r"[^\W\d_][\d!ø]|[\d!ø][^\W\d_]|[ﬀ-ﬆ]")
 
 
+class _Spaces(dict):
+    """Translation of every character that is no letter or digit to a blank."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = v = chr(c) if chr(c).isalnum() else " "
+        return v
+
+
+_KEEP = _Spaces({1: "\x01", 2: "\x02", 3: "\x03", 33: "!"})
+_LOOSE_MARK = re.compile(r"!(?![^\W\d_])")
+#: The same for the bytes of ASCII text; bytes of other characters stay.
+_KEEP_BYTES = bytes(i if i > 127 or i in (1, 2, 3, 33) or chr(i).isalnum() else 32 for i in range(256))
+
+
+def _cut(s: str) -> list[str]:
+    """Words in lower case; \x01 for a line's end or another bound of segments, \x02
+    for a text's end, \x03 at the end of the first half of a divided word."""
+    s = s.lower().replace("\r\n", "\n").replace("\r", "\n").replace("  \n", "\n").replace(" \n", "\n")
+    for mark in HYPHENS + SOFT:
+        s = s.replace(mark + "\n", "\x03 \x01 ")
+    for bound in ("\n", "  ", " / ", " · "):
+        s = s.replace(bound, " \x01 ")
+    for c in set(s):
+        if not c.isascii() and not c.isalnum():
+            s = s.replace(c, " ")
+    return _LOOSE_MARK.sub(" ", s).encode("utf-8", "surrogatepass").translate(_KEEP_BYTES).decode("utf-8", "surrogatepass").split()
+
+
+def _words_of(s: str) -> list[str]:
+    """Words of a text that holds no '!', in lower case."""
+    if s.isascii():
+        return s.lower().encode().translate(_KEEP_BYTES).decode().split()
+    return s.lower().translate(_KEEP).split()
+
+
 # --- counting -----------------------------------------------------------------
 
 
@@ -87,16 +125,15 @@ class _Counts:
         self.words: list[str] = ["", "", "", ""]
         self.pairs: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {"p1": [], "p2": []}
         self.uni = np.zeros(0, np.int64)
-        self.segments: Counter = Counter()
+        self.segments: dict[str, Counter] = {"": Counter(), "half": Counter()}
         self.sections: Counter = Counter()
 
     def _new(self, t: str) -> int:
-        c = t[0]
-        if c == "\x02":
+        if t == "\x02":
             n = self.END
-        elif t[-1] == "\x01":  # the first half of a divided word
+        elif t[-1] == "\x03":  # the first half of a divided word
             n = self.BROKEN
-        elif c in " \r\n":
+        elif t[0] == "\x01":
             n = self.BOUND
         else:
             w = "#" if t.isdigit() else t
@@ -108,15 +145,16 @@ class _Counts:
         self.ids[t] = n
         return n
 
-    def add(self, texts: list[str]) -> None:
-        s = _BROKEN.sub("\x01", "\x02".join(texts).lower()) + "\x02"
+    def add(self, texts: list[str], titles: bool = False) -> None:
         get, new = self.ids.get, self._new
-        a = np.array([get(t) or new(t) for t in _TOKEN.findall(s)], np.int64)
+        a = np.array([get(t) or new(t) for t in _cut(" \x02 ".join(texts) + " \x02")], np.int64)
         if not len(a):
             return
         count = np.bincount(a, minlength=len(self.words))
         count[: len(self.uni)] += self.uni
         self.uni = count
+        if titles:
+            return
         w = a[a != self.BOUND]
         for kind, off in (("p1", 1), ("p2", 2)):
             x, y = w[:-off], w[off:]
@@ -134,11 +172,12 @@ class _Counts:
         cut = np.flatnonzero(a <= self.END)
         begin = np.r_[0, cut[:-1] + 1]
         size = cut - begin
-        # the second half of a divided word begins no segment of its own
+        # what follows half a word may be its other half, and counts only if it is a segment elsewhere
         half = (begin > 1) & (a[begin - 2] == self.BROKEN) & (a[begin - 1] == self.BOUND)
-        short = (size > 0) & (size <= SEGMENT_WORDS) & ~half
+        short = (size > 0) & (size <= SEGMENT_WORDS)
         raw = a.tobytes()
-        self.segments.update(raw[8 * b : 8 * e] for b, e in zip(begin[short].tolist(), cut[short].tolist()))
+        for which, mark in ((short & ~half, ""), (short & half, "half")):
+            self.segments[mark].update(raw[8 * b : 8 * e] for b, e in zip(begin[which].tolist(), cut[which].tolist()))
 
     def _pair(self, kind: str, keys: np.ndarray) -> None:
         parts = self.pairs[kind]
@@ -155,9 +194,9 @@ class _Counts:
             if parts:
                 keys, n = _merge(parts)
                 yield _frame(kind, words[keys >> 32], words[keys & 0xFFFFFFFF], n)
-        if self.segments:
-            whole = [(ids, n) for k, n in self.segments.items() if (ids := np.frombuffer(k, np.int64)).min() > self.BROKEN]
-            yield _frame("g", [" ".join(words[ids]) for ids, _ in whole], "", [n for _, n in whole])
+        for mark, found in self.segments.items():
+            whole = [(ids, n) for k, n in found.items() if (ids := np.frombuffer(k, np.int64)).min() > self.BROKEN]
+            yield _frame("g", [" ".join(words[ids]) for ids, _ in whole], mark, [n for _, n in whole])
         if self.sections:
             stems = list(self.sections)
             yield _frame("s", np.array([x[0] for x in stems], object), np.array([x[1] for x in stems], object), np.fromiter(self.sections.values(), np.int64))
@@ -176,7 +215,7 @@ def _frame(kind: str, a, b, n) -> pd.DataFrame:
 
 def count_all(units: DataFrame, text: str, section: str, unit_type: str) -> DataFrame:
     """kind, a, b, n over all texts: words (w), neighbours (p1), neighbours but one
-    (p2), short segments of texts that are no headings (g), and section names
+    (p2), short segments of texts that are no headings (g; b 'half' where half a word stands before), and section names
     without and with a number at their end (s, b '' or '#')."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -184,7 +223,10 @@ def count_all(units: DataFrame, text: str, section: str, unit_type: str) -> Data
         for b in batches:
             body = [t for t, u in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) if t and u != "heading"]
             c.add(body)
-            for s, n in Counter(b.column(1).to_pylist()).items():
+            c.add([t for t, u in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) if t and u == "heading"], titles=True)
+            names = Counter(b.column(1).to_pylist())
+            c.add([s for s in names if s], titles=True)
+            for s, n in names.items():
                 if s and "\n" not in s and "  " not in s:
                     m = _TAIL_PAGE.match(s.strip())
                     c.sections[(m[1].lower(), "#") if m else (s.strip().lower(), "")] += n
@@ -333,8 +375,10 @@ def link_words(counts: DataFrame, words: list[str], c: np.ndarray) -> DataFrame:
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
     out = links.join(a.hint("merge"), "wrong", "left").join(b.hint("merge"), "right", "left")
     sim = dot("va", "vb") / F.sqrt(dot("va", "va") * dot("vb", "vb"))
-    out = out.withColumn("odd", F.col("wrong").rlike(_ODD.pattern)).withColumn("sim", F.coalesce(sim, F.lit(0.0)))
-    keep = F.col("sim") >= F.when(F.col("odd"), F.lit(SIM_ODD)).otherwise(F.lit(SIM_PLAIN))
+    out = out.withColumn("odd", F.col("wrong").rlike(_ODD.pattern)).withColumn("sim", sim)
+    # a word that stands alone, as in a title, has no neighbours to compare
+    alone = F.col("sim").isNull() & (F.col("odd") | (F.col("n_right") >= LONE_RATIO * F.col("n_wrong")))
+    keep = alone | (F.col("sim") >= F.when(F.col("odd"), F.lit(SIM_ODD)).otherwise(F.lit(SIM_PLAIN)))
     return out.where(keep).select("wrong", "right", "edits", "n_wrong", "n_right", "odd", "sim")
 
 
@@ -345,8 +389,8 @@ def _normal(m: np.ndarray) -> np.ndarray:
 def find_furniture(counts: DataFrame, links: DataFrame) -> DataFrame:
     """segment, n, share: short segments that occur as whole segments nearly always.
     Those with a misread word are left out; they are compared when corrected."""
-    seg = counts.where("kind = 'g'").where(F.col("n") >= FURNITURE_COUNT).select(F.col("a").alias("segment"), "n")
-    seg = seg.where(F.col("segment").rlike(r"\p{L}{3}"))
+    seg = counts.where("kind = 'g'").groupBy(F.col("a").alias("segment")).agg(F.sum(F.when(F.col("b") == "", F.col("n")).otherwise(0)).alias("own"), F.sum("n").alias("n"))
+    seg = seg.where(F.col("own") >= FURNITURE_COUNT).select("segment", "n").where(F.col("segment").rlike(r"\p{L}{3}"))
     t = F.split("segment", " ")
     two = F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.struct(F.element_at(t, i).alias("a"), F.element_at(t, i + 1).alias("b")))
     pairs = seg.where(F.size(t) > 1).select("segment", "n", F.explode(two).alias("p")).select("segment", "n", "p.a", "p.b")
@@ -373,18 +417,35 @@ class Repairer:
 
     def __init__(self, links: dict[str, list[str]], furniture: frozenset[str], stems: frozenset[str], known: np.ndarray, vectors: tuple[dict[str, int], np.ndarray, np.ndarray]):
         self.links, self.furniture, self.stems, self.known, self.vectors = links, furniture, stems, known, vectors
+        # first words of furniture, as printed and as misread, for a quick look before the exact one
+        begin = {x.split(" ")[0] for x in furniture}
+        self.first = begin | {w for w, rights in links.items() if rights[0] in begin}
 
     def segment_key(self, s: str) -> str:
-        out = []
-        for t in _WORD.findall(s.lower()):
-            t = self.links[t][0] if t in self.links else t
-            out.append("#" if t.isdigit() else t)
+        out = [self._header_word(t) for t in _WORD.findall(s.lower())]
         while out and out[-1] in HEADER_TAILS:
             out.pop()
         if len(out) > SEGMENT_WORDS or (len(out) == 1 and out[0] == "#"):
             return ""
         return " ".join(out)
 
+    def _header_word(self, t: str) -> str:
+        if t.isdigit():
+            return "#"
+        if t in self.links:
+            return self.links[t][0]
+        # words too short to be linked
+        if len(t) < MIN_LENGTH and not (t.isascii() and t.isalpha()):
+            return next((x for x in printed_forms(t) if x in HEADER_TAILS), t.translate(_ONE_GLYPH))
+        return t
+
+    def _all_furniture(self, s: str) -> bool:
+        first = _WORD.search(s)
+        if not first or first[0].lower() not in self.first and first[0].isascii() and first[0].isalpha():
+            return False
+        parts = [x.strip(" /·") for x in _SEGMENTS.split(f" {s} ")]
+        return all(self.is_furniture(x) for x in parts if x) and any(parts)
+
     def is_furniture(self, s: str) -> bool:
         return bool(s) and (k := self.segment_key(s)) != "" and k in self.furniture
 
@@ -393,56 +454,45 @@ class Repairer:
         if not text:
             return text, []
         found: set[str] = set()
-        lines = [x.strip() for x in _LINES.split(text)]
-        lines = [x for x in lines if x]
+        lines = [x for x in map(str.strip, _LINES.split(text)) if x] if _LINES.search(text) else [text.strip()]
+        if len(lines) == 1 and not is_title and "  " not in lines[0]:
+            return self._correct(lines[0], found), sorted(found)
         # pieces of text with the number of the line they stand on
         pieces: list[tuple[int, str]] = []
         width = max(map(len, lines), default=0)
         for i, line in enumerate(lines):
-            if len(lines) > 1 and len(line) < 20 and _PAGE.fullmatch(line) and self._stands_alone(lines, i, width):
+            if len(line) < 20 and len(lines) > 1 and _PAGE.fullmatch(line) and self._stands_alone(lines, i, width):
                 found.add("pageno")
-                continue
-            if "  " in line or " / " in line or " · " in line or len(line) < 90:
+            elif "  " in line:
                 parts = re.split(r"  +", line)
-                kept = []
-                for part in parts:
-                    if self.is_furniture(part) or (part == "·" and len(parts) > 1) or (len(part) > 3 and all(self.is_furniture(x.strip(" /·")) for x in _SEGMENTS.split(f" {part} ") if x.strip(" /·"))):
-                        if len(lines) > 1 or len(parts) > 1:
-                            if part != "·":
-                                found.add("header")
-                            continue
-                    kept.append(part)
-                if "header" not in found and "·" not in kept and len(kept) < len(parts):
-                    kept = parts
-                pieces += [(i, x) for x in kept if x]
+                gone = [self._all_furniture(x) for x in parts]
+                if any(gone):
+                    found.add("header")
+                pieces += [(i, x) for x, g in zip(parts, gone) if x and not g and not (any(gone) and x in "·/")]
+            elif len(lines) > 1 and self._all_furniture(line):
+                found.add("header")
             else:
                 pieces.append((i, line))
         if is_title and pieces:
             pieces = self._title_page(pieces, found)
-        out = ""
-        last = -1
+        out, last = "", -1
         for i, piece in pieces:
-            if not out:
-                out, last = piece, i
-                continue
-            if i != last and (how := self._divided(out, piece)):
+            if out and i != last and out[-1] in _DIVIDING and (how := self._divided(out, piece)):
                 found.add("hyphen")
-                out = (out.rstrip(HYPHENS + SOFT + " ") if how == "join" else out.rstrip()) + piece
+                out = (out.rstrip(HYPHENS + SOFT + " ") if how == "join" else out) + piece
             else:
-                out = f"{out} {piece}"
+                out = f"{out} {piece}" if out else piece
             last = i
-        out = self._correct(out, found)
-        return re.sub(r"\s+", " ", out).strip(), sorted(found)
+        return " ".join(self._correct(out, found).split()), sorted(found)
 
-    @staticmethod
-    def _stands_alone(lines: list[str], i: int, width: int) -> bool:
+    def _stands_alone(self, lines: list[str], i: int, width: int) -> bool:
         """Whether a line of a page number is no part of the wrapped text: either it
         would have fit on the line before, or the word after it on its line."""
         if i == 0 or not lines[i].isdigit():
             return True
         if i + 1 < len(lines):
             return len(lines[i]) + 1 + len(lines[i + 1].split(" ")[0]) <= width
-        return len(lines[i - 1]) + 1 + len(lines[i]) <= width or lines[i - 1][-1] in ".!?:;)]"
+        return len(lines[i - 1]) + 1 + len(lines[i]) <= width or lines[i - 1][-1] in ".!?:;)]" or self._all_furniture(lines[i - 1])
 
     def _title_page(self, pieces: list[tuple[int, str]], found: set[str]) -> list[tuple[int, str]]:
         i, s = pieces[-1]
@@ -473,13 +523,13 @@ class Repairer:
         word = first[0] if first else ""
         if not word and right[0] not in "([":
             return ""
-        if word.lower() in AFTER_HANGING and right[len(word) : len(word) + 1] in ("", " ", ",") and mark in HYPHENS:
+        half = re.split(r"[^\w]", token[:-1])[-1].lower()
+        if word.lower() in AFTER_HANGING and right[len(word) : len(word) + 1] in ("", " ", ",") and not self._known(half + word.lower()):
             return ""
         if _CHARGED.search(token) and not (word[:1].isupper() and token[-2] not in ")]"):
             tail = token[:-1]
             if tail[-1] in ")]" or re.search(r"[\])]\d+$", tail) or word[:1].islower():
                 return ""
-        half = re.split(r"[^\w]", token[:-1])[-1].lower()
         if not half.isalpha() or len(half) < 2 or word[:1].isdigit() or word[:1].isupper() and not half.isupper() and left[-2].islower():
             return "keep"
         word = word.lower()
@@ -490,12 +540,12 @@ class Repairer:
 
     def _correct(self, s: str, found: set[str]) -> str:
         links = self.links
-        tokens = _WORD.findall(s)
-        bad = [t for t in tokens if t.lower() in links]
-        if not bad:
+        if "!" not in s and links.keys().isdisjoint(_words_of(s)):
+            return s
+        low = [t.lower() for t in _WORD.findall(s)]
+        if links.keys().isdisjoint(low):
             return s
         found.add("chars")
-        low = [t.lower() for t in tokens]
         out, pos = [], 0
         for i, m in enumerate(_WORD.finditer(s)):
             options = links.get(low[i])
