@@ -299,11 +299,11 @@ def skip_gram(counts: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
         part = got[got["kind"] == 0]
         if len(part):
             w = w.copy()
-            w[part["i"].to_numpy()] = np.stack(part["v"].to_numpy())
+            w[part["i"].to_numpy()] = np.array(part["v"].tolist())
         part = got[got["kind"] == 1]
         if len(part):
             delta, times = np.zeros_like(c), np.zeros((v, 1), np.float32)
-            np.add.at(delta, part["i"].to_numpy(), np.stack(part["v"].to_numpy()).astype(np.float32))
+            np.add.at(delta, part["i"].to_numpy(), np.array(part["v"].tolist(), np.float32))
             np.add.at(times, part["i"].to_numpy(), 1.0)
             c = c + delta / np.maximum(times, 1.0)
     return words, w, c
@@ -363,7 +363,7 @@ def link_words(counts: DataFrame, words: list[str], c: np.ndarray) -> DataFrame:
     if len(words) < 3:
         return links.limit(0).select("*", F.lit(False).alias("odd"), F.lit(0.0).alias("sim"))
     # vector of a word: mean of its neighbours' context vectors, each pair weighted by its count
-    named = spark.createDataFrame(pd.DataFrame({"y": words, "v": list(_normal(c).astype(float))}), "y string, v array<double>")
+    named = spark.createDataFrame(list(zip(words, _normal(c).tolist())), "y string, v array<double>")
     involved = links.select(F.explode(F.array("wrong", "right")).alias("x")).distinct()
     near = counts.where("kind in ('p1', 'p2')")
     near = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "n").unionByName(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "n"))
