@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, records, studies, units
 
-MODULES = [problems]
+MODULES = [units, records, studies, problems]
 
 
 def queries() -> dict:
