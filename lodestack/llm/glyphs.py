@@ -50,9 +50,9 @@ TOP = 0x110000
 
 
 @lru_cache(1)
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(length, start, pool, combining class, sorted pair keys, composed code points),
-    all made by rule from the Unicode data but for the fixed values above."""
+def tables() -> tuple[np.ndarray, ...]:
+    """(length, start, pool, combining class, sorted pair keys, composed code points,
+    and length, start, pool of full decompositions), all made by rule from the Unicode data but for the fixed values above."""
     to: dict[int, str] = {}
     pairs: dict[int, int] = {}
     ccc = np.zeros(TOP, np.uint8)
@@ -83,47 +83,61 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray
             to |= {ord(a): b for a, b in zip(k, v, strict=True)}
     for a, b in INVISIBLE:
         to |= dict.fromkeys(range(a, b + 1), "")
-    length, start, pool = np.ones(TOP, np.int64), np.arange(TOP, dtype=np.int64), [np.arange(TOP, dtype=np.uint32)]
-    at = TOP
+    length, start, pool = _parts(to)
+    keys = np.array(sorted(pairs), np.int64)
+    whole = {cp: unicodedata.normalize("NFD", chr(cp)) for cp in pairs.values()}
+    return length, start, pool, ccc, keys, np.array([pairs[k] for k in keys.tolist()], np.uint32), *_parts(whole)
+
+
+def _parts(to: dict[int, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    length, start, pool, at = np.ones(TOP, np.int64), np.arange(TOP, dtype=np.int64), [np.arange(TOP, dtype=np.uint32)], TOP
     for cp, s in to.items():
         length[cp], start[cp] = len(s), at
         pool.append(np.array([ord(x) for x in s], np.uint32))
         at += len(s)
-    keys = np.array(sorted(pairs), np.int64)
-    return length, start, np.concatenate(pool), ccc, keys, np.array([pairs[k] for k in keys.tolist()], np.uint32)
+    return length, start, np.concatenate(pool)
 
 
-def _expand(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    length, start, pool, *_ = tables()
-    n = length[cp]
+def _expand(cp: np.ndarray, row: np.ndarray, book: tuple, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    length, start, pool = book
+    n = length[cp] if where is None else np.where(where, length[cp], 1)
     ends = np.cumsum(n)
     within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
-    return pool[np.repeat(start[cp], n) + within], np.repeat(row, n)
+    begin = start[cp] if where is None else np.where(where, start[cp], cp)
+    return pool[np.repeat(begin, n) + within], np.repeat(row, n)
 
 
 def _compose(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ccc, keys, made = tables()[3:]
-    while len(cp) > 1:
+    ccc, keys, made = tables()[3:6]
+    if not ccc[cp].any():
+        return cp, row
+    # letters that stand before a mark are taken apart, the marks of each letter sorted
+    before = np.r_[(ccc[cp[1:]] > 0) & (row[1:] == row[:-1]), False]
+    cp, row = _expand(cp, row, tables()[6:9], before & (ccc[cp] == 0))
+    cls = ccc[cp]
+    cluster = np.cumsum((cls == 0) | np.r_[True, row[1:] != row[:-1]])
+    order = np.lexsort((cls, cluster))
+    cp, row = cp[order], row[order]
+    while True:
         cls = ccc[cp]
-        if not cls.any():
-            break
-        same = row[1:] == row[:-1]
-        if (same & (cls[1:] > 0) & (cls[:-1] > cls[1:])).any():
-            order = np.lexsort((cls, np.cumsum((cls == 0) | np.r_[True, ~same])))
-            cp, row, cls = cp[order], row[order], cls[order]
-            same = row[1:] == row[:-1]
-        pair = np.flatnonzero(same & (cls[1:] > 0) & (cls[:-1] == 0))
-        key = cp[pair].astype(np.int64) << 21 | cp[pair + 1]
+        mark = np.flatnonzero(cls > 0)
+        base = np.maximum.accumulate(np.where(cls == 0, np.arange(len(cp)), -1))[mark]
+        open_ = (base >= 0) & (row[base] == row[mark]) & ((mark - 1 == base) | (cls[mark - 1] != cls[mark]))
+        mark, base = mark[open_], base[open_]
+        if not len(mark):
+            return cp, row
+        key = cp[base].astype(np.int64) << 21 | cp[mark]
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[at] == key
-        if not hit.any():
-            break
+        hit = np.flatnonzero(keys[at] == key)
+        if not len(hit):
+            return cp, row
+        _, first = np.unique(base[hit], return_index=True)  # one mark a letter at a time
+        hit = hit[first]
         cp = cp.copy()
-        cp[pair[hit]] = made[at[hit]]
+        cp[base[hit]] = made[at[hit]]
         keep = np.ones(len(cp), bool)
-        keep[pair[hit] + 1] = False
+        keep[mark[hit]] = False
         cp, row = cp[keep], row[keep]
-    return cp, row
 
 
 def canonical_array(col: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -140,7 +154,7 @@ def canonical_array(col: pa.Array) -> tuple[pa.Array, pa.Array]:
     cp = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     first = (raw & 0xC0) != 0x80
     row = np.repeat(np.arange(n), size)[first]
-    new, at = _compose(*_expand(cp, row))
+    new, at = _compose(*_expand(cp, row, tables()[:3]))
     width = 1 + (new > 0x7F) + (new > 0x7FF) + (new > 0xFFFF).astype(np.int64)
     sizes = np.bincount(at, weights=width, minlength=n).astype(np.int64) if n else np.zeros(0, np.int64)
     body = new.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")

@@ -26,7 +26,7 @@ from ..session import settle
 MAX_GRADED = 20_000
 #: Entries of the table of word counts: its size is the same for every corpus.
 RARITY_BUCKETS = 1 << 17
-PENALTY = 3e-3
+PENALTY = 1e-2
 
 # Connectives, subordinating words, and words of beginners' sentences.
 CONNECTIVES = "however therefore thus hence moreover furthermore consequently nevertheless nonetheless notwithstanding thereby whereas although because since while consequently accordingly conversely instead likewise meanwhile otherwise similarly subsequently".split()
@@ -34,9 +34,28 @@ SUBORDINATORS = "which that whose whom who where when whether if unless until al
 PRONOUNS = "i you he she it we they me him her us them my your his its our their".split()
 EXCLAIMS = "wow oh look yes no yay hooray please".split()
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+#: Bytes of ASCII text to blanks, but for letters; the same for characters of other text.
+_LETTERS = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
 _SENTENCE = re.compile(r"[.!?]+[\"')\]]*(?:\s+|$)|\n\s*\n")
 _SYLLABLE = re.compile(r"[aeiouyäöüéèàáíóú]+")
+
+
+class _Letters(dict):
+    def __missing__(self, c: int) -> str:
+        self[c] = v = chr(c) if chr(c).isalpha() else " "
+        return v
+
+
+_LETTER_CHARS = _Letters()
+
+
+def words_of(s: str) -> list[str]:
+    """Runs of letters of a lower-case text."""
+    if s.isascii():
+        return s.encode().translate(_LETTERS).decode().split()
+    return s.translate(_LETTER_CHARS).split()
+
+
 FEATURES = [
     "word_len", "word_len_sd", "long7", "long10", "syllables", "poly", "sent_words", "sent_words_sd", "sent_q25", "sent_q75", "sent_max", "short_sent",
     "rarity", "rarity_q75", "rarity_q95", "rare_share", "sent_rarity_sd", "ttr100", "hapax", "connective", "subordinate", "commas", "depth", "semicolon", "passive",
@@ -63,7 +82,7 @@ def count_words(docs: DataFrame, text_col: str) -> np.ndarray:
             counts: Counter = Counter()
             for t in f[text_col]:
                 if t:
-                    counts.update(_WORD.findall(t.lower()))
+                    counts.update(words_of(t.lower()))
             if len(memo) > 1_000_000:
                 memo.clear()
             for w, n in counts.items():
@@ -85,44 +104,71 @@ class Reader:
     def __init__(self, counts: np.ndarray):
         total = max(1, int(counts.sum()))
         self.bits = (math.log2(total + 1) - np.log2(counts + 1.0)).astype(np.float32)
-        self.memo: dict[str, tuple[int, int, float, int]] = {}
-
-    def word(self, w: str) -> tuple[int, int, float, int]:
-        got = self.memo.get(w)
-        if got is None:
-            if len(self.memo) > 1_000_000:
-                self.memo.clear()
-            low = w.lower()
-            kind = (low in _SETS[0]) | (low in _SETS[1]) << 1 | (low in _SETS[2]) << 2 | (low in _SETS[3]) << 3 | ("-" in low) << 4 | low.endswith(("tion", "tions", "ment", "ments", "ity", "ities", "ness", "ance", "ence")) << 5 | low.endswith("ed") << 6
-            got = self.memo[w] = (len(w), max(1, len(_SYLLABLE.findall(low))), float(self.bits[bucket(low)]), kind)
-        return got
-
-    def features(self, text: str) -> list[float]:
-        sents = [s for s in (_WORD.findall(x) for x in _SENTENCE.split(text)) if s]
-        if not sents:
-            return [0.0] * len(FEATURES)
-        word = self.word
-        info = [word(w) for s in sents for w in s]
-        words = [w.lower() for s in sents for w in s]
-        n, m = len(words), len(sents)
-        length, syl, rare, kind = (np.array(x, float) for x in zip(*info))
+        self.memo: dict[str, int] = {}
+        self.table: list[tuple[int, int, float, int]] = []
+        self.arrays = np.zeros((0, 4))
+
+    def _new(self, w: str) -> int:
+        kind = (w in _SETS[0]) | (w in _SETS[1]) << 1 | (w in _SETS[2]) << 2 | (w in _SETS[3]) << 3 | w.endswith(("tion", "tions", "ment", "ments", "ity", "ities", "ness", "ance", "ence")) << 4 | w.endswith("ed") << 5
+        self.memo[w] = n = len(self.table)
+        self.table.append((len(w), max(1, len(_SYLLABLE.findall(w))), float(self.bits[bucket(w)]), kind))
+        return n
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """A row of FEATURES for each text (zeros for one without words); all sums run
+        over the words and sentences of all texts at once."""
+        if len(self.memo) > 1_000_000:
+            self.memo, self.table, self.arrays = {}, [], np.zeros((0, 4))
+        get, new = self.memo.get, self._new
+        out = np.zeros((len(texts), len(FEATURES)))
+        ids: list[int] = []
+        sizes: list[int] = []
+        n_sents, marks, rows = [], [], []
+        for row, text in enumerate(texts):
+            sents = [x for x in map(words_of, _SENTENCE.split(text.lower())) if x]
+            if not sents:
+                continue
+            for x in sents:
+                ids += [new(w) if (i := get(w)) is None else i for w in x]
+                sizes.append(len(x))
+            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            n_sents.append(len(sents))
+            rows.append(row)
+            marks.append((text.count(","), text.count(";"), text.count("!"), text.count("(") + text.count("["), text.count("-"), len(text), np.count_nonzero((raw >= 48) & (raw <= 57)), np.count_nonzero((raw >= 65) & (raw <= 90))))
+        if not rows:
+            return out
+        if len(self.table) > len(self.arrays):
+            self.arrays = np.concatenate([self.arrays, np.array(self.table[len(self.arrays) :], float)])
+        word, sl, m = np.array(ids), np.array(sizes, float), np.array(n_sents)
+        length, syl, rare, kind = self.arrays[word].T
         kind = kind.astype(int)
-        sl = np.array([len(s) for s in sents], float)
+        s_at = np.r_[0, np.cumsum(m)[:-1]]  # first sentence of each text
+        n = np.add.reduceat(sl, s_at).astype(int)
+        w_at = np.r_[0, np.cumsum(n)[:-1]]  # first word of each text
+        doc = np.repeat(np.arange(len(n)), n)
+        per_word = lambda x: np.add.reduceat(x.astype(float), w_at) / n
+        per_sent = lambda x: np.add.reduceat(x.astype(float), s_at) / m
+        spread = lambda f, x: np.sqrt(np.maximum(f(x * x) - f(x) ** 2, 0))
         sr = np.add.reduceat(rare, np.r_[0, np.cumsum(sl)[:-1]].astype(int)) / sl
-        # mean share of different words over windows of 100, so that length has no part in it
-        starts = range(0, max(1, n - 50), 100)
-        ttr = sum(len(set(words[i : i + 100])) / len(words[i : i + 100]) for i in starts) / len(starts)
-        seen = Counter(words)
-        has = [float(np.count_nonzero(kind >> b & 1)) / n for b in range(7)]
-        commas, marks = text.count(","), has[1] * n
-        so, ro, log_sl = np.sort(sl), np.sort(rare), math.log(n / m)
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        digits, upper = np.count_nonzero((raw >= 48) & (raw <= 57)), np.count_nonzero((raw >= 65) & (raw <= 90))
-        return [
-            length.mean(), length.std(), np.count_nonzero(length >= 7) / n, np.count_nonzero(length >= 10) / n, syl.mean(), np.count_nonzero(syl >= 3) / n, log_sl, math.log1p(sl.std()), math.log(so[m // 4]), math.log(so[3 * m // 4]), math.log(so[-1]), np.count_nonzero(sl <= 8) / m,
-            rare.mean(), ro[3 * n // 4], ro[19 * n // 20], np.count_nonzero(rare > 14) / n, sr.std(), ttr, sum(1 for c in seen.values() if c == 1) / n, has[0], has[1], commas / m, (commas + marks) / m, text.count(";") / m, has[6],
-            has[2], has[3] + text.count("!") / m, digits / len(text), (text.count("(") + text.count("[")) / m, upper / len(text), has[4], log_sl * length.mean(), has[5],
-        ]
+        ro = rare[np.lexsort((rare, doc))]
+        so = sl[np.lexsort((sl, np.repeat(np.arange(len(m)), m)))]
+        # share of different words in windows of 100, so that length has no part in it; a short last window has none unless it is the only one
+        pos = np.arange(len(word)) - w_at[doc]
+        window = np.unique(np.c_[doc, pos // 100], axis=0, return_inverse=True, return_counts=True)
+        different = np.bincount(np.unique(window[1].ravel().astype(np.int64) << 32 | word) >> 32, minlength=len(window[0]))
+        full = (window[2] >= 50) | (window[0][:, 1] == 0)
+        ttr = np.bincount(window[0][full, 0], weights=(different / window[2])[full], minlength=len(n)) / np.bincount(window[0][full, 0], minlength=len(n))
+        pairs, times = np.unique(doc.astype(np.int64) << 32 | word, return_counts=True)
+        once = np.bincount((pairs >> 32)[times == 1], minlength=len(n))
+        has = [per_word(kind >> b & 1) for b in range(6)]
+        commas, semis, exclaims, brackets, hyphens, chars, digits, upper = np.array(marks, float).T
+        log_sl, mean_len = np.log(n / m), per_word(length)
+        out[rows] = np.stack([
+            mean_len, spread(per_word, length), per_word(length >= 7), per_word(length >= 10), per_word(syl), per_word(syl >= 3), log_sl, np.log1p(spread(per_sent, sl)), np.log(so[s_at + m // 4]), np.log(so[s_at + 3 * m // 4]), np.log(so[s_at + m - 1]), per_sent(sl <= 8),
+            per_word(rare), ro[w_at + 3 * n // 4], ro[w_at + 19 * n // 20], per_word(rare > 14), spread(per_sent, sr), ttr, once / n, has[0], has[1], commas / m, (commas + has[1] * n) / m, semis / m, has[5],
+            has[2], has[3] + exclaims / m, digits / chars, brackets / m, upper / chars, hyphens / n, log_sl * mean_len, has[4],
+        ], axis=1)
+        return out
 
 
 _SETS = [frozenset(x) for x in (CONNECTIVES, SUBORDINATORS, PRONOUNS, EXCLAIMS)]
@@ -134,8 +180,9 @@ def text_features(docs: DataFrame, keep: list[str], text_col: str, counts: np.nd
 
     @F.pandas_udf("array<double>")
     def f(texts: pd.Series) -> pd.Series:
-        reader = Reader(shared.value)
-        return pd.Series([reader.features(t) if t is not None and t.strip() else None for t in texts], dtype=object)
+        ok = [t is not None and t.strip() != "" for t in texts]
+        rows = iter(Reader(shared.value).features([t for t, k in zip(texts, ok) if k]))
+        return pd.Series([next(rows) if k else None for k in ok], dtype=object)
 
     return docs.select(*keep, f(F.col(text_col)).alias("f"))
 

@@ -173,7 +173,7 @@ class _Counts:
         begin = np.r_[0, cut[:-1] + 1]
         size = cut - begin
         # what follows half a word may be its other half, and counts only if it is a segment elsewhere
-        half = (begin > 1) & (a[begin - 2] == self.BROKEN) & (a[begin - 1] == self.BOUND)
+        half = (begin > 1) & (a[np.maximum(begin - 2, 0)] == self.BROKEN) & (a[begin - 1] == self.BOUND)
         short = (size > 0) & (size <= SEGMENT_WORDS)
         raw = a.tobytes()
         for which, mark in ((short & ~half, ""), (short & half, "half")):
@@ -591,7 +591,7 @@ def known_words(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def repair_units(units: DataFrame, id_col: str = "unit_id", text: str = "text", section: str = "section", unit_type: str = "unit_type", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def repair_units(units: DataFrame, id_col: str = "unit_id", text: str = "text", section: str = "section", unit_type: str = "unit_type", max_links: int = MAX_BROADCAST) -> DataFrame:
     """id_col, field_name ('text', 'section'), repaired, defects for each row and field.
 
     ``defects`` holds 'hyphen', 'chars', 'header', 'pageno' as they were met, in
@@ -609,19 +609,19 @@ def repair_units(units: DataFrame, id_col: str = "unit_id", text: str = "text",
     known = known_words(counts)
     n_links = links.count()
     vectors = ({x: i for i, x in enumerate(words)}, w, c)
-    if furniture.count() > max_broadcast:
-        raise ValueError("more furniture than can be broadcast; raise max_broadcast if the executors have room")
+    if furniture.count() > MAX_BROADCAST:
+        raise ValueError("more kinds of furniture than can be broadcast; repair a part of the collections at a time")
     marks = [r[0] for r in furniture.collect()]
     heads = frozenset(x for x in marks if x[0] != "\x02")
     stems = frozenset(x[1:] for x in marks if x[0] == "\x02")
-    if n_links <= max_broadcast:
+    if n_links <= max_links:
         table = _link_table([tuple(r) for r in links.select("wrong", "right", "edits", "n_right").collect()])
         base = base.withColumn("own", F.lit(None).cast("array<struct<wrong:string,right:string,edits:int,n_right:long>>"))
     else:  # too many to hand to every task: each row gets the links of its own words by a join
         table = {}
         base = base.join(_own_links(base, links).hint("merge"), "__id", "left")
     shared = spark.sparkContext.broadcast((table, heads, stems, known, vectors))
-    by_row = n_links > max_broadcast
+    by_row = n_links > max_links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fixer = Repairer(*shared.value)
