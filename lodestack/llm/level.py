@@ -20,8 +20,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
-
 #: Graded documents that the regression is fitted to, at most.
 MAX_GRADED = 20_000
 #: Entries of the table of word counts: its size is the same for every corpus.
@@ -289,19 +287,26 @@ def read_levels(docs: DataFrame, graded: DataFrame, keep: list[str], text_col: s
     graded id that occurs in several rows counts as often. Empty tables give none.
     """
     counts = count_words(docs, text_col)
-    feats = settle(text_features(docs, keep, text_col, counts), "features")
-    model = fit_levels(feats.select("doc_id", "f"), graded)
+    # features leave Python for graded documents only; all others are graded where they are read
+    known = docs.select("doc_id", text_col).join(graded.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    model = fit_levels(text_features(known, ["doc_id"], text_col, counts), graded)
     if model is None:
-        return feats.select(*keep, F.lit(None).cast("int").alias("level_no"), F.lit(None).cast("double").alias("score"))
+        return docs.select(*keep, F.lit(None).cast("int").alias("level_no"), F.lit(None).cast("double").alias("score"))
+    shared = docs.sparkSession.sparkContext.broadcast((counts, model))
 
     @F.pandas_udf("struct<level_no:int,score:double>")
-    def grade(f: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"level_no": pd.array([None] * len(f), dtype="Int32"), "score": pd.array([None] * len(f), dtype="Float64")})
-        ok = f.notna().to_numpy()
-        if ok.any():
-            x = np.stack(f[ok].to_numpy()).astype(float)
-            out.loc[ok, "level_no"] = model.predict(x).astype(int)
-            out.loc[ok, "score"] = model.score(x)
-        return out
-
-    return feats.select(*keep, grade("f").alias("g")).select(*keep, "g.level_no", "g.score")
+    def grade(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        counts, model = shared.value
+        reader = Reader(counts)
+        for texts in parts:
+            ok = np.array([t is not None and t.strip() != "" for t in texts], bool)
+            out = pd.DataFrame({"level_no": pd.array([None] * len(ok), dtype="Int32"), "score": pd.array([None] * len(ok), dtype="Float64")})
+            if ok.any():
+                x = reader.features(texts[ok].tolist())
+                out.loc[ok, "level_no"] = model.predict(x).astype(int)
+                out.loc[ok, "score"] = model.score(x)
+            yield out
+
+    # not deterministic on paper, so that no filter above is pushed below it with a second reading of every text
+    grade = grade.asNondeterministic()
+    return docs.select(*keep, grade(F.col(text_col)).alias("g")).select(*keep, "g.level_no", "g.score")
