@@ -182,7 +182,8 @@ def text_features(docs: DataFrame, keep: list[str], text_col: str, counts: np.nd
         rows = iter(Reader(shared.value).features([t for t, k in zip(texts, ok) if k]))
         return pd.Series([next(rows) if k else None for k in ok], dtype=object)
 
-    return docs.select(*keep, f(F.col(text_col)).alias("f"))
+    # not deterministic on paper: a filter on f must not be pushed below the choice of documents
+    return docs.select(*keep, f.asNondeterministic()(F.col(text_col)).alias("f"))
 
 
 class OrdinalModel:
