@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Replicates of a group that one task draws at a time.
+BLOCK = 50
+
 
 def rank_items(scores: DataFrame, by: list[str], item: str, score: str) -> DataFrame:
     """Add rank (1 is best; ties by item), k and borda = (k - rank) / (k - 1)."""
@@ -64,11 +67,13 @@ def bootstrap_mean(df: DataFrame, by: list[str], order: str, value: str, replica
     """mean, ci_lower, ci_upper (2.5 and 97.5 percent, linear) of the resampled mean.
     Draw i of replicate r takes the row numbered by a hash of seed, group, r and i,
     so the result depends on the data only."""
-    rows = df.withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).select(*by, "idx", value)
-    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
-    draws = n.select(*by, "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).select(*by, "n", "r", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
+    packed = df.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"]).alias("values"), F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    # a group's values go along with blocks of replicates, so that no draw is a row of a shuffle
+    blocks = packed.select(*by, "n", "values", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK))).alias("block")).repartition(df.sparkSession.sparkContext.defaultParallelism * 4, *by, "block")
+    first = F.col("block") * BLOCK + 1
+    draws = blocks.select(*by, "n", "values", F.explode(F.sequence(first, F.least(first + BLOCK - 1, F.lit(replicates)))).alias("r")).select(*by, "n", "values", "r", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
     h = F.md5(F.concat_ws(":", F.lit(seed), *by, "r", "i"))
-    draws = draws.withColumn("idx", (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.col("n")).cast("int"))
-    means = draws.join(rows, [*by, "idx"]).groupBy(*by, "r").agg(F.avg(value).alias("m"))
+    drawn = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.col("n")).cast("int")
+    means = draws.groupBy(*by, "r").agg(F.avg(F.get("values", drawn)).alias("m"))
     ci = means.groupBy(*by).agg(F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"))
-    return ci.join(n.select(*by, "mean"), by)
+    return ci.join(packed.select(*by, "mean"), by)

@@ -11,7 +11,7 @@ from ..operators import ranking as R
 from ..operators import scaling as Z
 from ..sources import table
 
-REPLICATES = 40
+REPLICATES = 10_000
 
 
 def _labelled(s: SparkSession, d: str) -> DataFrame:
