@@ -74,6 +74,8 @@ _HEAD_PAGE = re.compile(rf"^({_CLEAR_PAGE}|\d{{1,5}})\s+(\S.*)$", re.I | re.S)
 _CHARGED = re.compile(rf"(?:[\])]\d*|(?:^|[^\w])(?:\w*(?:Sb|Cl|Br|F|I|At)\d*))[{HYPHENS}]$")
 #: Of the glyph pairs above, those of one sign that is no letter of the word, for words too short to be linked.
 _ONE_GLYPH = str.maketrans({a: b for a, b in reversed(GLYPHS) if len(a) == len(b) == 1 and not (a.isascii() and a.isalpha())})
+#: No misreading of a word of HEADER_TAILS, or number there of a page or year, is longer.
+LONGEST_TAIL = 9
 _ODD = re.compile(r"[^\W\d_][\d!ø]|[\d!ø][^\W\d_]|[ﬀ-ﬆ]")
 
 
@@ -416,10 +418,15 @@ class Repairer:
     """Repairs one field at a time, given what the counting found."""
 
     def __init__(self, links: dict[str, list[str]], furniture: frozenset[str], stems: frozenset[str], known: np.ndarray, vectors: tuple[dict[str, int], np.ndarray, np.ndarray]):
-        self.links, self.furniture, self.stems, self.known, self.vectors = links, furniture, stems, known, vectors
+        self.furniture, self.stems, self.known, self.vectors = furniture, stems, known, vectors
+        self.begin = {x.split(" ")[0] for x in furniture}
+        self.use(links)
+
+    def use(self, links: dict[str, list[str]]) -> None:
+        """Take ``links``, which must hold those of all words of the fields to come."""
+        self.links = links
         # first words of furniture, as printed and as misread, for a quick look before the exact one
-        begin = {x.split(" ")[0] for x in furniture}
-        self.first = begin | {w for w, rights in links.items() if rights[0] in begin}
+        self.first = self.begin | {w for w, rights in links.items() if rights[0] in self.begin}
 
     def segment_key(self, s: str) -> str:
         out = [self._header_word(t) for t in _WORD.findall(s.lower())]
@@ -454,7 +461,7 @@ class Repairer:
         if not text:
             return text, []
         found: set[str] = set()
-        lines = [x for x in map(str.strip, _LINES.split(text)) if x] if _LINES.search(text) else [text.strip()]
+        lines = _lines(text)
         if len(lines) == 1 and not is_title and "  " not in lines[0]:
             return self._correct(lines[0], found), sorted(found)
         # pieces of text with the number of the line they stand on
@@ -566,6 +573,51 @@ class Repairer:
         return max(options, key=lambda x: (float(w[number[x]] @ mean) if x in number else -9.0, -options.index(x)))
 
 
+def _lines(text: str) -> list[str]:
+    return [x for x in map(str.strip, _LINES.split(text)) if x] if _LINES.search(text) else [text.strip()]
+
+
+def words_met(text: str | None, is_title: bool) -> set[str]:
+    """Every word that repair() may look up in this field, whatever is furniture: those
+    of each piece, and what the end of a piece makes with the begin of a later one
+    if all between may go."""
+    if not text:
+        return set()
+    out: set[str] = set()
+    open_: set[str] = set()  # ends of pieces before a hyphen that the next piece kept may go on from
+    for line in _lines(text):
+        for piece in re.split(r"  +", line):
+            low = piece.lower()
+            out.update(_WORD.findall(low), (t.lower() for t in _WORD.findall(piece)))
+            if is_title:
+                out.update(low.split())
+            bare = piece.rstrip(HYPHENS + SOFT + " ")
+            head, tail = _RUN_HEAD.match(low)[0], _RUN_TAIL.search(bare.lower())[0]
+            ends = {tail} if len(bare) < len(piece) else set()
+            for t in open_:
+                half = re.split(r"[^\w]", t)[-1]
+                word = _WORD.match(head)
+                out.update(_WORD.findall(t + head), (half, half + word[0] if word else half))
+                if ends and len(head) == len(bare):
+                    ends.add(t + head)
+            open_ = ends | open_ if _may_go(low) else ends
+    return out
+
+
+_RUN_HEAD, _RUN_TAIL = re.compile(r"[\w!]*"), re.compile(r"[\w!]*$")
+
+
+def _may_go(low: str) -> bool:
+    """Whether a piece may be furniture or a page number, however it is misread."""
+    for part in _SEGMENTS.split(f" {low} "):
+        t = _WORD.findall(part)
+        while t and len(t[-1]) <= LONGEST_TAIL:
+            t.pop()
+        if len(t) > SEGMENT_WORDS:
+            return False
+    return True
+
+
 def _like(word: str, model: str) -> str:
     """``word`` with the letter case of ``model``."""
     letters = [x for x in model if x.isalpha()]
@@ -619,7 +671,9 @@ def repair_units(units: DataFrame, id_col: str = "unit_id", text: str = "text",
         base = base.withColumn("own", F.lit(None).cast("array<struct<wrong:string,right:string,edits:int,n_right:long>>"))
     else:  # too many to hand to every task: each row gets the links of its own words by a join
         table = {}
-        base = base.join(_own_links(base, links).hint("merge"), "__id", "left")
+        # rows of one hash share their links, of which each looks up those of its own words only
+        base = base.withColumn("key", F.xxhash64("text", "section", "unit_type"))
+        base = base.join(_own_links(base, links).hint("merge"), "key", "left")
     shared = spark.sparkContext.broadcast((table, heads, stems, known, vectors))
     by_row = n_links > max_links
 
@@ -632,7 +686,7 @@ def repair_units(units: DataFrame, id_col: str = "unit_id", text: str = "text",
             own = b.column(4).to_pylist() if by_row else None
             for i, (t, s, k) in enumerate(zip(texts.to_pylist(), sections.to_pylist(), kinds.to_pylist())):
                 if own is not None:
-                    fixer.links = _link_table([(x["wrong"], x["right"], x["edits"], x["n_right"]) for x in own[i] or []])
+                    fixer.use(_link_table([(x["wrong"], x["right"], x["edits"], x["n_right"]) for x in own[i] or []]))
                     titles = {}
                 for name, value, title in (("text", t, k == "heading"), ("section", s, True)):
                     if title and value:
@@ -662,8 +716,19 @@ def _link_table(rows: list[tuple[str, str, int, int]]) -> dict[str, list[str]]:
 
 
 def _own_links(base: DataFrame, links: DataFrame) -> DataFrame:
-    """__id, own: the links of the words of each row, divided words joined."""
-    plain = F.lower(F.regexp_replace(F.concat_ws(" ", "text", "section"), rf"[{HYPHENS}{SOFT}][ \t]*[\r\n]+\s*", ""))
-    words = base.select("__id", F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}](?:[\p{L}\p{N}]|!(?=\p{L}))*)"), 1))).alias("wrong"))
+    """key, own: the links of all words that repair() may look up in the rows of a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, words = [], []
+            for key, t, s, k in zip(*(b.column(i).to_pylist() for i in range(4))):
+                met = words_met(t, k == "heading") | words_met(s, True)
+                # none shorter, and none without a letter, is linked
+                met = [w for w in met if len(w) >= MIN_LENGTH - 1 and not w.isdigit()]
+                keys += [key] * len(met)
+                words += met
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], names=["key", "wrong"])
+
+    words = base.select("key", "text", "section", "unit_type").mapInArrow(run, "key long, wrong string").distinct()
     met = words.join(links.select("wrong", "right", "edits", "n_right").hint("merge"), "wrong")
-    return met.groupBy("__id").agg(F.collect_set(F.struct("wrong", "right", "edits", "n_right")).alias("own"))
+    return met.groupBy("key").agg(F.collect_set(F.struct("wrong", "right", "edits", "n_right")).alias("own"))
