@@ -155,6 +155,26 @@ def paired_delta(s: SparkSession, d: str) -> DataFrame:
     return j.groupBy("event_type").agg(F.round(F.avg(F.col("after") - F.col("before")), 6).alias("delta"), F.count(F.lit(1)).alias("n"))
 
 
+def paired_delta_ci(s: SparkSession, d: str) -> DataFrame:
+    """Borda scores of the same trials before and after the middle of the time: both
+    means, their difference and its bootstrap interval by model and feature."""
+    e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    mid = e.select(F.expr("timestamp_micros(cast((unix_micros(min(ts)) + unix_micros(max(ts))) / 2 as bigint))").alias("mid"))
+    e = e.join(F.broadcast(mid)).groupBy((F.col("ts") >= F.col("mid")).alias("late"), (F.col("user_id") % 4).cast("int").alias("model"), F.col("user_id").alias("trial"), F.col("event_type").alias("feature")).agg(F.round(F.sum("value"), 6).alias("score"))
+    r = R.rank_items(e, ["late", "model", "trial"], "feature", "score")
+    side = lambda flag, name: r.where(F.col("late") == flag).select("model", "trial", "feature", F.col("borda").alias(name))
+    j = side(False, "before").join(side(True, "after"), ["model", "trial", "feature"]).withColumn("delta", F.col("after") - F.col("before"))
+    means = j.groupBy("model", "feature").agg(F.avg("before").alias("before"), F.avg("after").alias("after"), F.count(F.lit(1)).alias("n"))
+    out = R.bootstrap_mean(j, ["model", "feature"], "trial", "delta", REPLICATES, "20260909").withColumnRenamed("mean", "delta").join(means, ["model", "feature"])
+    return out.select("model", "feature", *[F.round(c, 6).alias(c) for c in ("before", "after", "delta", "ci_lower", "ci_upper")], "n")
+
+
+def kendall_summary_ci(s: SparkSession, d: str) -> DataFrame:
+    """Mean tau over pairs of trials of a model and its bootstrap interval over trials."""
+    b = R.bootstrap_tau(R.ranking_classes(_ranks(s, d), "model", "trial", "feature"), "model", REPLICATES, 20260909)
+    return b.select("model", *[F.round(c, 6).alias(c) for c in ("mean_tau", "ci_lower", "ci_upper")], "n_trials")
+
+
 def _long(s: SparkSession, d: str) -> DataFrame:
     return Z.long_vectors(table(s, d, "embeddings"), "vec_id", "embedding")
 
@@ -233,7 +253,7 @@ def conditional_prob(s: SparkSession, d: str) -> DataFrame:
     return li.groupBy("l_linenumber").agg(F.round(F.avg("p"), 6).alias("p"), F.sum((F.col("p") >= 0.5).cast("long")).alias("n_one"))
 
 
-QUERIES = {f.__name__: f for f in [classification_metrics, best_config_confusion, threshold_sweep, crosstab, conditional_counts, value_counts_reindex, composition_share, fold_summary, block_rollup, best_per_family, union_leaderboard, condition_gain, borda_summary, average_rank, kendall_pairwise, kendall_summary, kendall_intermodel, bootstrap_ci, pivot_report, validate_ranking, paired_delta, median_impute, standard_scale, robust_scale, drop_constant_columns, embedding_collision_guard, dense_topk, linear_shap, work_plan_remaining, id_list_missing, offset_limit, mark_join, usage_cost, conditional_prob]}
+QUERIES = {f.__name__: f for f in [classification_metrics, best_config_confusion, threshold_sweep, crosstab, conditional_counts, value_counts_reindex, composition_share, fold_summary, block_rollup, best_per_family, union_leaderboard, condition_gain, borda_summary, average_rank, kendall_pairwise, kendall_summary, kendall_intermodel, bootstrap_ci, pivot_report, validate_ranking, paired_delta, paired_delta_ci, kendall_summary_ci, median_impute, standard_scale, robust_scale, drop_constant_columns, embedding_collision_guard, dense_topk, linear_shap, work_plan_remaining, id_list_missing, offset_limit, mark_join, usage_cost, conditional_prob]}
 
 _LAB = "l AS (SELECT l_linestatus || '/' || l_linenumber AS config, CAST(l_returnflag = 'R' AS INT) AS truth, CAST(l_discount > 0.05 AS INT) AS pred, l_quantity / 50 AS score FROM lineitem)"
 _CNT = "c AS (SELECT config, count(*) AS n, sum(truth * pred) AS tp, sum((1 - truth) * pred) AS fp, sum(truth * (1 - pred)) AS fn, sum((1 - truth) * (1 - pred)) AS tn FROM l GROUP BY config), m AS (SELECT *, (CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END + CASE WHEN 2 * tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0 END) / 2 AS f1 FROM c)"
