@@ -129,6 +129,25 @@ def jaccard_topk(s: SparkSession, d: str) -> DataFrame:
     return top.select("query_id", "match_id", "jaccard", "rank")
 
 
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id: the smallest id of the documents with the same text. Texts
+    are compared by SHA-256, so that only hashes are shuffled."""
+    h = docs.select("doc_id", F.sha2("text", 256).alias("h"))
+    return h.join(h.groupBy("h").agg(F.min("doc_id").alias("class_id")).hint("merge"), "h").select("doc_id", "class_id")
+
+
+def jaccard_members(s: SparkSession, d: str) -> DataFrame:
+    """The class of each document with text, by which rows of jaccard_topk stand for documents."""
+    return _classes(table(s, d, "documents").where("text is not null"))
+
+
+def jaccard_topk_docs(s: SparkSession, d: str) -> DataFrame:
+    """jaccard_topk for each doc_id divisible by 50, copies included, with the class it belongs to."""
+    q = jaccard_members(s, d).where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    top = jaccard_topk(s, d).withColumnRenamed("query_id", "class_id")
+    return q.join(top.hint("merge"), "class_id").select("query_id", "class_id", "match_id", "jaccard", "rank")
+
+
 def first_mention_ids(s: SparkSession, d: str) -> DataFrame:
     reg = table(s, d, "compound_registry").select("registry_row_id", "paper_id", "supporting_source_ids")
     u = table(s, d, "document_units").groupBy("source_id").agg(F.min("order_index").alias("o"))
@@ -155,7 +174,7 @@ def content_hash(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "customer").select("c_custkey", X.content_hash(F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey")).alias("hash"))
 
 
-QUERIES = {f.__name__: f for f in [paragraph_split, classify_unit, unit_ids, prev_next, regex_filter, tokenize_counts, text_sanity, sanitize_text, bm25_topk, candidate_pool, neighbor_expand, topk_hits_per_group, counter_evidence, alias_match, jaccard_topk, first_mention_ids, pick_shortest_per_key, bbox_anti_join, content_hash]}
+QUERIES = {f.__name__: f for f in [paragraph_split, classify_unit, unit_ids, prev_next, regex_filter, tokenize_counts, text_sanity, sanitize_text, bm25_topk, candidate_pool, neighbor_expand, topk_hits_per_group, counter_evidence, alias_match, jaccard_topk, jaccard_members, jaccard_topk_docs, first_mention_ids, pick_shortest_per_key, bbox_anti_join, content_hash]}
 QUERIES["forward_fill"] = section_fill
 
 
@@ -218,3 +237,8 @@ SQL = {
       AND a.bbox[1] < b.bbox[3] AND a.bbox[3] > b.bbox[1] AND a.bbox[2] < b.bbox[4] + 40 AND a.bbox[4] > b.bbox[2] - 40)""",
     "content_hash": "SELECT c_custkey, substr(sha256(concat_ws(chr(31), c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR))), 1, 16) AS hash FROM customer",
 }
+_MEMBERS = "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id FROM documents WHERE text IS NOT NULL"
+SQL |= {
+    "jaccard_members": _MEMBERS,
+    "jaccard_topk_docs": f"SELECT m.doc_id AS query_id, class_id, match_id, jaccard, rank FROM ({_MEMBERS}) m JOIN ({SQL['jaccard_topk']}) t ON t.query_id = m.class_id WHERE m.doc_id % 50 = 0",
+}
