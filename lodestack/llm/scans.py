@@ -61,8 +61,10 @@ SEGMENT_WORDS = 9
 VECTOR_WORDS, DIMS, EPOCHS, NEGATIVES = 20_000, 24, 4, 4
 WINDOW = 2
 MAX_BROADCAST = 400_000
-#: Marks of known words: table size and the count that makes a word known.
-KNOWN_BUCKETS, KNOWN_COUNT = 1 << 20, 4
+#: What makes a word known: this count, and this share of all words in a large corpus, where misreadings recur too.
+KNOWN_COUNT, KNOWN_SHARE = 4, 1e-7
+#: Size of a table of marks by hash, which Repairer takes in place of a set of known words.
+KNOWN_BUCKETS = 1 << 20
 
 _WORD = re.compile(r"[^\W_]+(?:![^\W\d_][^\W_]*)*")
 _SEGMENTS = re.compile(r"  +| [/·] ")
@@ -129,6 +131,7 @@ class _Counts:
         self.uni = np.zeros(0, np.int64)
         self.segments: dict[str, Counter] = {"": Counter(), "half": Counter()}
         self.sections: Counter = Counter()
+        self.asked: set[str] = set()
 
     def _new(self, t: str) -> int:
         if t == "\x02":
@@ -199,6 +202,8 @@ class _Counts:
         for mark, found in self.segments.items():
             whole = [(ids, n) for k, n in found.items() if (ids := np.frombuffer(k, np.int64)).min() > self.BROKEN]
             yield _frame("g", [" ".join(words[ids]) for ids, _ in whole], mark, [n for _, n in whole])
+        if self.asked:
+            yield _frame("d", np.array(sorted(self.asked), object), "", 1)
         if self.sections:
             stems = list(self.sections)
             yield _frame("s", np.array([x[0] for x in stems], object), np.array([x[1] for x in stems], object), np.fromiter(self.sections.values(), np.int64))
@@ -218,17 +223,23 @@ def _frame(kind: str, a, b, n) -> pd.DataFrame:
 def count_all(units: DataFrame, text: str, section: str, unit_type: str) -> DataFrame:
     """kind, a, b, n over all texts: words (w), neighbours (p1), neighbours but one
     (p2), short segments of texts that are no headings (g; b 'half' where half a word stands before), and section names
-    without and with a number at their end (s, b '' or '#')."""
+    without and with a number at their end (s, b '' or '#'), and the words to look up
+    where lines end in a hyphen (d)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         c = _Counts()
         for b in batches:
+            for t in b.column(0).to_pylist():
+                if t and _HANGING.search(t):
+                    c.asked.update(halves_met(t))
             body = [t for t, u in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) if t and u != "heading"]
             c.add(body)
             c.add([t for t, u in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) if t and u == "heading"], titles=True)
             names = Counter(b.column(1).to_pylist())
             c.add([s for s in names if s], titles=True)
             for s, n in names.items():
+                if s:
+                    c.asked.update(halves_met(s))
                 if s and "\n" not in s and "  " not in s:
                     m = _TAIL_PAGE.match(s.strip())
                     c.sections[(m[1].lower(), "#") if m else (s.strip().lower(), "")] += n
@@ -417,7 +428,7 @@ def page_stems(counts: DataFrame) -> DataFrame:
 class Repairer:
     """Repairs one field at a time, given what the counting found."""
 
-    def __init__(self, links: dict[str, list[str]], furniture: frozenset[str], stems: frozenset[str], known: np.ndarray, vectors: tuple[dict[str, int], np.ndarray, np.ndarray]):
+    def __init__(self, links: dict[str, list[str]], furniture: frozenset[str], stems: frozenset[str], known: frozenset[str] | np.ndarray, vectors: tuple[dict[str, int], np.ndarray, np.ndarray]):
         self.furniture, self.stems, self.known, self.vectors = furniture, stems, known, vectors
         self.begin = {x.split(" ")[0] for x in furniture}
         self.use(links)
@@ -543,7 +554,7 @@ class Repairer:
         return "keep" if not self._known(half + word) and self._known(half) and self._known(word) else "join"
 
     def _known(self, word: str) -> bool:
-        return bool(self.known[_bucket(word)]) or word in self.links
+        return (word in self.known if isinstance(self.known, frozenset) else bool(self.known[_bucket(word)])) or word in self.links
 
     def _correct(self, s: str, found: set[str]) -> str:
         links = self.links
@@ -583,27 +594,41 @@ def words_met(text: str | None, is_title: bool) -> set[str]:
     if all between may go."""
     if not text:
         return set()
-    out: set[str] = set()
-    open_: set[str] = set()  # ends of pieces before a hyphen that the next piece kept may go on from
+    out: set[str] = set(halves_met(text))
     for line in _lines(text):
-        for piece in re.split(r"  +", line):
+        low = line.lower()
+        out.update(_WORD.findall(low), (t.lower() for t in _WORD.findall(line)))
+        if is_title:
+            out.update(low.split())
+    return out
+
+
+def halves_met(text: str) -> Iterator[str]:
+    """The words that repair() may make or ask for where a piece goes on from an earlier
+    one: both halves and what they make together."""
+    open_: set[str] = set()  # ends of pieces before a hyphen that the next piece kept may go on from
+    lines = _lines(text)
+    if len(lines) == 1:
+        return
+    for line in lines:
+        for piece in re.split(r"  +", line) if "  " in line else (line,):
+            bare = piece.rstrip(HYPHENS + SOFT + " ") if piece and piece[-1] in _DIVIDING else piece
+            if not open_ and bare is piece:
+                continue
             low = piece.lower()
-            out.update(_WORD.findall(low), (t.lower() for t in _WORD.findall(piece)))
-            if is_title:
-                out.update(low.split())
-            bare = piece.rstrip(HYPHENS + SOFT + " ")
             head, tail = _RUN_HEAD.match(low)[0], _RUN_TAIL.search(bare.lower())[0]
-            ends = {tail} if len(bare) < len(piece) else set()
+            ends = {tail} if bare is not piece else set()
             for t in open_:
                 half = re.split(r"[^\w]", t)[-1]
-                word = _WORD.match(head)
-                out.update(_WORD.findall(t + head), (half, half + word[0] if word else half))
+                word = m[0] if (m := _WORD.match(head)) else ""
+                yield from _WORD.findall(t + head)
+                yield from (half, word, half + word)
                 if ends and len(head) == len(bare):
                     ends.add(t + head)
-            open_ = ends | open_ if _may_go(low) else ends
-    return out
+            open_ = ends | open_ if open_ and _may_go(low) else ends
 
 
+_HANGING = re.compile(rf"[{HYPHENS}{SOFT}]\s")
 _RUN_HEAD, _RUN_TAIL = re.compile(r"[\w!]*"), re.compile(r"[\w!]*$")
 
 
@@ -630,17 +655,12 @@ def _bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % KNOWN_BUCKETS
 
 
-def known_words(counts: DataFrame) -> np.ndarray:
-    """A table of fixed size that marks the words which occur KNOWN_COUNT times or more, by hash."""
-
-    @F.pandas_udf("int")
-    def at(s: pd.Series) -> pd.Series:
-        return s.map(_bucket).astype("int32")
-
-    marks = counts.where(f"kind = 'w' and n >= {KNOWN_COUNT}").select(at("a").alias("b")).distinct().toPandas()
-    out = np.zeros(KNOWN_BUCKETS, bool)
-    out[marks["b"].to_numpy(dtype=np.int64)] = True
-    return out
+def known_words(counts: DataFrame) -> DataFrame:
+    """word: those that are asked for where lines end in a hyphen and occur often enough, exactly."""
+    words = counts.where("kind = 'w'")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    often = words.where(F.col("n") >= max(KNOWN_COUNT, total * KNOWN_SHARE)).select(F.col("a").alias("word"))
+    return counts.where("kind = 'd'").select(F.col("a").alias("word")).join(often.hint("merge"), "word", "left_semi")
 
 
 def repair_units(units: DataFrame, id_col: str = "unit_id", text: str = "text", section: str = "section", unit_type: str = "unit_type", max_links: int = MAX_BROADCAST) -> DataFrame:
@@ -658,24 +678,26 @@ def repair_units(units: DataFrame, id_col: str = "unit_id", text: str = "text",
     words, w, c = skip_gram(counts)
     links = settle(link_words(counts, words, c), "linked")
     furniture = settle(find_furniture(counts, links).select("segment").unionByName(page_stems(counts).select(F.concat(F.lit("\x02"), "stem").alias("segment"))), "furniture")
-    known = known_words(counts)
-    n_links = links.count()
+    known = settle(known_words(counts), "known")
+    by_row = links.count() > max_links or known.count() > max_links
     vectors = ({x: i for i, x in enumerate(words)}, w, c)
     if furniture.count() > MAX_BROADCAST:
         raise ValueError("more kinds of furniture than can be broadcast; repair a part of the collections at a time")
     marks = [r[0] for r in furniture.collect()]
     heads = frozenset(x for x in marks if x[0] != "\x02")
     stems = frozenset(x[1:] for x in marks if x[0] == "\x02")
-    if n_links <= max_links:
+    if not by_row:
+        sure = frozenset(r[0] for r in known.collect())
         table = _link_table([tuple(r) for r in links.select("wrong", "right", "edits", "n_right").collect()])
         base = base.withColumn("own", F.lit(None).cast("array<struct<wrong:string,right:string,edits:int,n_right:long>>"))
     else:  # too many to hand to every task: each row gets the links of its own words by a join
-        table = {}
+        table, sure = {}, frozenset()
         # rows of one hash share their links, of which each looks up those of its own words only
+        # a known word is a row without a correction
+        facts = links.select("wrong", "right", "edits", "n_right").unionByName(known.select(F.col("word").alias("wrong")), allowMissingColumns=True)
         base = base.withColumn("key", F.xxhash64("text", "section", "unit_type"))
-        base = base.join(_own_links(base, links).hint("merge"), "key", "left")
-    shared = spark.sparkContext.broadcast((table, heads, stems, known, vectors))
-    by_row = n_links > max_links
+        base = base.join(_own_links(base, facts).hint("merge"), "key", "left")
+    shared = spark.sparkContext.broadcast((table, heads, stems, sure, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fixer = Repairer(*shared.value)
@@ -686,7 +708,8 @@ def repair_units(units: DataFrame, id_col: str = "unit_id", text: str = "text",
             own = b.column(4).to_pylist() if by_row else None
             for i, (t, s, k) in enumerate(zip(texts.to_pylist(), sections.to_pylist(), kinds.to_pylist())):
                 if own is not None:
-                    fixer.use(_link_table([(x["wrong"], x["right"], x["edits"], x["n_right"]) for x in own[i] or []]))
+                    fixer.use(_link_table([(x["wrong"], x["right"], x["edits"], x["n_right"]) for x in own[i] or [] if x["right"] is not None]))
+                    fixer.known = frozenset(x["wrong"] for x in own[i] or [] if x["right"] is None)
                     titles = {}
                 for name, value, title in (("text", t, k == "heading"), ("section", s, True)):
                     if title and value:
@@ -715,20 +738,19 @@ def _link_table(rows: list[tuple[str, str, int, int]]) -> dict[str, list[str]]:
     return {k: [x[2] for x in sorted(v) if x[0] == min(v)[0]] for k, v in out.items()}
 
 
-def _own_links(base: DataFrame, links: DataFrame) -> DataFrame:
-    """key, own: the links of all words that repair() may look up in the rows of a key."""
+def _own_links(base: DataFrame, facts: DataFrame) -> DataFrame:
+    """key, own: the facts on all words that repair() may look up in the rows of a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, words = [], []
             for key, t, s, k in zip(*(b.column(i).to_pylist() for i in range(4))):
                 met = words_met(t, k == "heading") | words_met(s, True)
-                # none shorter, and none without a letter, is linked
-                met = [w for w in met if len(w) >= MIN_LENGTH - 1 and not w.isdigit()]
+                met = [w for w in met if w and not w.isdigit()]
                 keys += [key] * len(met)
                 words += met
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], names=["key", "wrong"])
 
     words = base.select("key", "text", "section", "unit_type").mapInArrow(run, "key long, wrong string").distinct()
-    met = words.join(links.select("wrong", "right", "edits", "n_right").hint("merge"), "wrong")
+    met = words.join(facts.hint("merge"), "wrong")
     return met.groupBy("key").agg(F.collect_set(F.struct("wrong", "right", "edits", "n_right")).alias("own"))

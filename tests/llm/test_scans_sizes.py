@@ -50,3 +50,17 @@ def test_words_met_holds_all_that_may_be_glued(seed):
     rng = random.Random(seed)
     lines = [" ".join(rng.choice(BASE)[: rng.randrange(2, 9)] for _ in range(rng.randrange(1, 5))) + rng.choice(["", "-", "\xad"]) for _ in range(8)]
     assert slow_glue("\n".join(lines)) <= scans.words_met("\n".join(lines), False)
+
+
+def test_unseen_words_are_not_known_in_a_large_vocabulary(spark):
+    """More distinct known words than a table of fixed size keeps apart, few of them asked for."""
+    counts = spark.range(700_000).selectExpr("'w' as kind", "concat('w', id) as a", "'' as b", "5L as n")
+    asked = spark.range(600_000, 800_000).selectExpr("'d' as kind", "concat('w', id) as a", "'' as b", "1L as n")
+    assert scans.known_words(counts.unionByName(asked)).count() == 100_000
+
+
+def test_known_words_are_those_asked_for_at_hyphens(spark):
+    text = "the edge-\nand corner-\n- 12 -\nsharing struc-\nture"
+    df = spark.createDataFrame([(i, text + "\nedge and corner structure", "S", "paragraph") for i in range(9)], "unit_id long, text string, section string, unit_type string")
+    known = {r["word"] for r in scans.known_words(scans.count_all(df, "text", "section", "unit_type")).collect()}
+    assert {"edge", "and", "corner", "sharing", "structure"} <= known and "edgeand" not in known and "the" not in known
