@@ -11,8 +11,9 @@
    corrections are possible), drops furniture and page numbers, joins divided
    words and reflows the lines, and reports what it met.
 
-All counts cover all texts. What is broadcast is checked first: links and
-furniture above MAX_BROADCAST rows are joined by shuffle instead of broadcast.
+All counts cover all texts. What is broadcast is checked first: if links, known
+words or furniture exceed MAX_BROADCAST rows, each row gets its own by shuffle
+joins instead.
 """
 
 from __future__ import annotations
@@ -429,15 +430,15 @@ class Repairer:
     """Repairs one field at a time, given what the counting found."""
 
     def __init__(self, links: dict[str, list[str]], furniture: frozenset[str], stems: frozenset[str], known: frozenset[str] | np.ndarray, vectors: tuple[dict[str, int], np.ndarray, np.ndarray]):
-        self.furniture, self.stems, self.known, self.vectors = furniture, stems, known, vectors
-        self.begin = {x.split(" ")[0] for x in furniture}
-        self.use(links)
+        self.vectors = vectors
+        self.use(links, known, furniture, stems)
 
-    def use(self, links: dict[str, list[str]]) -> None:
-        """Take ``links``, which must hold those of all words of the fields to come."""
-        self.links = links
+    def use(self, links: dict[str, list[str]], known: frozenset[str] | np.ndarray, furniture: frozenset[str], stems: frozenset[str]) -> None:
+        """Take what was found of all words and segments of the fields to come."""
+        self.links, self.known, self.furniture, self.stems = links, known, furniture, stems
+        begin = {x.split(" ")[0] for x in furniture}
         # first words of furniture, as printed and as misread, for a quick look before the exact one
-        self.first = self.begin | {w for w, rights in links.items() if rights[0] in self.begin}
+        self.first = begin | {w for w, rights in links.items() if rights[0] in begin}
 
     def segment_key(self, s: str) -> str:
         out = [self._header_word(t) for t in _WORD.findall(s.lower())]
@@ -526,8 +527,24 @@ class Repairer:
         return pieces
 
     def _stem(self, s: str) -> bool:
-        s = " ".join(self.links[t][0] if t in self.links else t for t in s.lower().split())
-        return s in self.stems
+        return self.stem_key(s) in self.stems
+
+    def stem_key(self, s: str) -> str:
+        return " ".join(self.links[t][0] if t in self.links else t for t in s.lower().split())
+
+    def marks_met(self, text: str | None, is_title: bool) -> set[str]:
+        """Every segment, and every stem after \x02, that repair() may look up in this field."""
+        out: set[str] = set()
+        if not text:
+            return out
+        for line in _lines(text):
+            for piece in re.split(r"  +", line):
+                out.update(self.segment_key(x.strip(" /·")) for x in _SEGMENTS.split(f" {piece} "))
+                if is_title:
+                    tail = m[1] if (m := _TAIL_PAGE.match(piece)) else piece
+                    heads = [m[2] for x in (piece, tail) if (m := _HEAD_PAGE.match(x))]
+                    out.update("\x02" + self.stem_key(x) for x in (tail, *heads))
+        return out - {""}
 
     def _divided(self, left: str, right: str) -> str:
         """'join' or 'keep' (the hyphen) if a word or name goes on from ``left`` to ``right``; else ''."""
@@ -679,24 +696,21 @@ def repair_units(units: DataFrame, id_col: str = "unit_id", text: str = "text",
     links = settle(link_words(counts, words, c), "linked")
     furniture = settle(find_furniture(counts, links).select("segment").unionByName(page_stems(counts).select(F.concat(F.lit("\x02"), "stem").alias("segment"))), "furniture")
     known = settle(known_words(counts), "known")
-    by_row = links.count() > max_links or known.count() > max_links
+    by_row = max(links.count(), known.count(), furniture.count()) > max_links
     vectors = ({x: i for i, x in enumerate(words)}, w, c)
-    if furniture.count() > MAX_BROADCAST:
-        raise ValueError("more kinds of furniture than can be broadcast; repair a part of the collections at a time")
-    marks = [r[0] for r in furniture.collect()]
-    heads = frozenset(x for x in marks if x[0] != "\x02")
-    stems = frozenset(x[1:] for x in marks if x[0] == "\x02")
     if not by_row:
-        sure = frozenset(r[0] for r in known.collect())
+        sure, marks = frozenset(r[0] for r in known.collect()), [r[0] for r in furniture.collect()]
         table = _link_table([tuple(r) for r in links.select("wrong", "right", "edits", "n_right").collect()])
-        base = base.withColumn("own", F.lit(None).cast("array<struct<wrong:string,right:string,edits:int,n_right:long>>"))
-    else:  # too many to hand to every task: each row gets the links of its own words by a join
-        table, sure = {}, frozenset()
+    else:  # too many to hand to every task: each row gets the links of its own words, and the marks of its own segments, by joins
+        table, sure, marks = {}, frozenset(), []
         # rows of one hash share their links, of which each looks up those of its own words only
         # a known word is a row without a correction
         facts = links.select("wrong", "right", "edits", "n_right").unionByName(known.select(F.col("word").alias("wrong")), allowMissingColumns=True)
         base = base.withColumn("key", F.xxhash64("text", "section", "unit_type"))
-        base = base.join(_own_links(base, facts).hint("merge"), "key", "left")
+        own = settle(_own_links(base, facts), "own")
+        seen = _own_marks(base.join(own.hint("merge"), "key", "left"), furniture)
+        base = base.join(own.hint("merge"), "key", "left").join(seen.hint("merge"), "key", "left")
+    heads, stems = _heads_stems(marks)
     shared = spark.sparkContext.broadcast((table, heads, stems, sure, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -705,11 +719,10 @@ def repair_units(units: DataFrame, id_col: str = "unit_id", text: str = "text",
         for b in batches:
             ids, texts, sections, kinds = (b.column(i) for i in range(4))
             names, fixed, kinds_met, at = [], [], [], []
-            own = b.column(4).to_pylist() if by_row else None
+            own, seen = (b.column(4).to_pylist(), b.column(5).to_pylist()) if by_row else (None, None)
             for i, (t, s, k) in enumerate(zip(texts.to_pylist(), sections.to_pylist(), kinds.to_pylist())):
                 if own is not None:
-                    fixer.use(_link_table([(x["wrong"], x["right"], x["edits"], x["n_right"]) for x in own[i] or [] if x["right"] is not None]))
-                    fixer.known = frozenset(x["wrong"] for x in own[i] or [] if x["right"] is None)
+                    fixer.use(*_facts(own[i]), *_heads_stems(seen[i] or []))
                     titles = {}
                 for name, value, title in (("text", t, k == "heading"), ("section", s, True)):
                     if title and value:
@@ -727,7 +740,7 @@ def repair_units(units: DataFrame, id_col: str = "unit_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(fixed, pa.string()), pa.array(kinds_met, pa.list_(pa.string()))], names=[id_col, "field_name", "repaired", "defects"])
 
     schema = T.StructType([T.StructField(id_col, base.schema["__id"].dataType), *T.StructType.fromDDL("field_name string, repaired string, defects array<string>").fields])
-    return base.select("__id", "text", "section", "unit_type", *(["own"] if by_row else [])).mapInArrow(run, schema)
+    return base.select("__id", "text", "section", "unit_type", *(["own", "marks"] if by_row else [])).mapInArrow(run, schema)
 
 
 def _link_table(rows: list[tuple[str, str, int, int]]) -> dict[str, list[str]]:
@@ -754,3 +767,31 @@ def _own_links(base: DataFrame, facts: DataFrame) -> DataFrame:
     words = base.select("key", "text", "section", "unit_type").mapInArrow(run, "key long, wrong string").distinct()
     met = words.join(facts.hint("merge"), "wrong")
     return met.groupBy("key").agg(F.collect_set(F.struct("wrong", "right", "edits", "n_right")).alias("own"))
+
+
+def _facts(own: list[dict] | None) -> tuple[dict[str, list[str]], frozenset[str]]:
+    """Links and known words of a row."""
+    rows = own or []
+    return _link_table([(x["wrong"], x["right"], x["edits"], x["n_right"]) for x in rows if x["right"] is not None]), frozenset(x["wrong"] for x in rows if x["right"] is None)
+
+
+def _heads_stems(marks: list[str]) -> tuple[frozenset[str], frozenset[str]]:
+    return frozenset(x for x in marks if x[0] != "\x02"), frozenset(x[1:] for x in marks if x[0] == "\x02")
+
+
+def _own_marks(base: DataFrame, furniture: DataFrame) -> DataFrame:
+    """key, marks: furniture and page stems among all segments that repair() may look up in the rows of a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixer = Repairer({}, frozenset(), frozenset(), frozenset(), ({}, np.zeros((0, DIMS)), np.zeros((0, DIMS))))
+        for b in batches:
+            keys, segments = [], []
+            for key, t, s, k, own in zip(*(b.column(i).to_pylist() for i in range(5))):
+                fixer.use(*_facts(own), frozenset(), frozenset())
+                met = fixer.marks_met(t, k == "heading") | fixer.marks_met(s, True)
+                keys += [key] * len(met)
+                segments += met
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(segments, pa.string())], names=["key", "segment"])
+
+    met = base.select("key", "text", "section", "unit_type", "own").mapInArrow(run, "key long, segment string").distinct()
+    return met.join(furniture.hint("merge"), "segment").groupBy("key").agg(F.collect_set("segment").alias("marks"))

@@ -64,3 +64,15 @@ def test_known_words_are_those_asked_for_at_hyphens(spark):
     df = spark.createDataFrame([(i, text + "\nedge and corner structure", "S", "paragraph") for i in range(9)], "unit_id long, text string, section string, unit_type string")
     known = {r["word"] for r in scans.known_words(scans.count_all(df, "text", "section", "unit_type")).collect()}
     assert {"edge", "and", "corner", "sharing", "structure"} <= known and "edgeand" not in known and "the" not in known
+
+
+def test_more_furniture_than_can_be_broadcast(spark, monkeypatch):
+    """Headers and page stems by join; the limit is far below their number."""
+    rows = [*corpus(), *[(900 + i, "a text of the lattice", f"Residual density {'' if i % 3 else i}".strip(), "paragraph") for i in range(9)]]
+    df = spark.createDataFrame(rows, "unit_id long, text string, section string, unit_type string")
+    found = lambda: {(r["unit_id"], r["field_name"]): (r["repaired"], r["defects"]) for r in scans.repair_units(df).collect()}
+    want = found()
+    monkeypatch.setattr(scans, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(scans.repair_units, "__defaults__", (*scans.repair_units.__defaults__[:-1], 0))
+    assert found() == want
+    assert ["header"] in [x[1] for x in want.values()] and want[903, "section"] == ("Residual density", ["pageno"])
