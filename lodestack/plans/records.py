@@ -158,12 +158,12 @@ def stratified_interleave(s: SparkSession, d: str) -> DataFrame:
 
 def greedy_diverse(s: SparkSession, d: str) -> DataFrame:
     """Six varied compounds of each class: each round takes the one least like those
-    taken, with a bonus for a new oxidation state; ties go to the larger id. A round
-    is one aggregation of the table; nothing but the taken rows is collected."""
+    taken, with a bonus for a new oxidation state, a new set of halides and a new mixed
+    flag (several halides or not); ties go to the larger id. A round is one aggregation of the table; nothing but the taken rows is collected."""
     r = table(s, d, "compound_records").where("sb_halide_dimensionality_llm is not null").groupBy("compound_id").agg(
         F.max((F.col("sb_halide_dimensionality_llm") != "0D").cast("int")).alias("cls"), F.array_distinct(F.flatten(F.collect_set("halides_present"))).alias("h"), F.max(F.coalesce("sb_oxidation_state_reported", F.lit(""))).alias("o")
     )
-    r = settle(r, "compounds")
+    r = settle(r.withColumn("x", F.array_join(F.array_sort(F.array_compact("h")), "/")).withColumn("mixed", F.col("x").contains("/")), "compounds")
     taken: list = []
     for step in range(6):
         score = F.lit(1.0)
@@ -173,11 +173,11 @@ def greedy_diverse(s: SparkSession, d: str) -> DataFrame:
             sim = F.coalesce(inter / F.nullif(F.size(F.array_union("h", mine)), F.lit(0)), F.lit(0.0))
             score = F.least(score, F.when(F.col("cls") == t["cls"], 1 - sim))  # null, for the other class, has no part
         for c in (0, 1):
-            seen = [t["o"] for t in taken if t["cls"] == c]
-            if seen:
-                score = score + F.when((F.col("cls") == c) & ~F.col("o").isin(seen), 0.45).otherwise(0.0)
+            prior = [t for t in taken if t["cls"] == c]
+            for name, bonus in (("o", 0.45), ("x", 0.35), ("mixed", 0.20)) if prior else ():
+                score = score + F.when((F.col("cls") == c) & ~F.col(name).isin([t[name] for t in prior]), bonus).otherwise(0.0)
         left = r.where(~F.col("compound_id").isin([t["compound_id"] for t in taken])) if taken else r
-        best = left.withColumn("score", score).groupBy("cls").agg(F.max(F.struct("score", "compound_id", "h", "o")).alias("b")).select("cls", "b.*").collect()
+        best = left.withColumn("score", score).groupBy("cls").agg(F.max(F.struct(F.round("score", 9).alias("score"), "compound_id", "h", "o", "x", "mixed")).alias("b")).select("cls", "b.*").collect()
         taken += [{**x.asDict(), "step": step + 1} for x in best]
     rows = [(t["cls"], t["step"], t["compound_id"]) for t in taken]
     return s.createDataFrame(rows, "cls int, step int, compound_id string")
