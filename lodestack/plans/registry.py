@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems, records, studies, units
+from . import assembly, problems, records, studies, units
 
-MODULES = [units, records, studies, problems]
+MODULES = [units, records, assembly, studies, problems]
 
 
 def queries() -> dict:

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators.reading import forward_fill, neighbours
-from ..operators.retrieval import alias_hits, bm25_terms, shingle_pairs, top_per_group
+from ..operators.retrieval import MAX_ALIASES, alias_hits, bm25_terms, shingle_pairs, top_per_group
+from ..operators.skew import ranked
 from ..sources import table
 
 QUERY_TERMS = ["antimony", "halide", "layers", "lone", "pair", "antimony"]
@@ -88,7 +89,7 @@ def _pool(s: SparkSession, d: str) -> DataFrame:
     # of alias-only documents the later ones rank higher, so only the last of each collection can reach the pool
     last = top_per_group(hits, ["lang"], [F.desc("doc_id")], 30, spread="doc_id")
     n = hits.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    alias = last.join(F.broadcast(n), "lang").join(F.broadcast(top), "lang", "left").select("lang", "doc_id", (F.coalesce("top", F.lit(1.0)) + F.col("n") - F.col("rank") + 1).alias("score"), F.lit("alias").alias("origin"))
+    alias = last.join(n, "lang").join(top, "lang", "left").select("lang", "doc_id", (F.coalesce("top", F.lit(1.0)) + F.col("n") - F.col("rank") + 1).alias("score"), F.lit("alias").alias("origin"))
     return best.select("lang", "doc_id", "score", F.lit("bm25").alias("origin")).unionByName(alias)
 
 
@@ -118,8 +119,9 @@ def counter_evidence(s: SparkSession, d: str) -> DataFrame:
 
 
 def alias_match(s: SparkSession, d: str) -> DataFrame:
-    names = [r[0] for r in table(s, d, "reference_values").select("full_name").where("full_name is not null").limit(5001).collect()]
-    return alias_hits(table(s, d, "documents").where("text is not null"), ["doc_id"], "text", names)
+    names = table(s, d, "reference_values").select(F.lower("full_name").alias("alias")).where("alias is not null").distinct()
+    short = names.count() <= MAX_ALIASES
+    return alias_hits(table(s, d, "documents").where("text is not null"), ["doc_id"], "text", [r[0] for r in names.collect()] if short else names)
 
 
 def jaccard_topk(s: SparkSession, d: str) -> DataFrame:
@@ -153,8 +155,8 @@ def first_mention_ids(s: SparkSession, d: str) -> DataFrame:
     u = table(s, d, "document_units").groupBy("source_id").agg(F.min("order_index").alias("o"))
     seen = reg.select("registry_row_id", F.explode("supporting_source_ids").alias("source_id")).join(u, "source_id").groupBy("registry_row_id").agg(F.min("o").alias("first_seen"))
     r = reg.join(seen, "registry_row_id", "left").withColumn("first_seen", F.coalesce("first_seen", F.lit(10**9)))
-    w = Window.partitionBy("paper_id").orderBy("first_seen", "registry_row_id")
-    return r.withColumn("n", F.row_number().over(w)).select("registry_row_id", F.format_string("%s_C%d", "paper_id", "n").alias("made_id"), F.col("first_seen").cast("long").alias("first_seen"))
+    r = ranked(r, ["paper_id"], ["first_seen", "registry_row_id"], F.col("first_seen"), "n")
+    return r.select("registry_row_id", F.format_string("%s_C%d", "paper_id", "n").alias("made_id"), F.col("first_seen").cast("long").alias("first_seen"))
 
 
 def pick_shortest_per_key(s: SparkSession, d: str) -> DataFrame:
@@ -165,8 +167,8 @@ def pick_shortest_per_key(s: SparkSession, d: str) -> DataFrame:
 def bbox_anti_join(s: SparkSession, d: str) -> DataFrame:
     u = table(s, d, "document_units").where("bbox is not null").select("unit_id", "paper_id", "page", "unit_type", *[F.col("bbox")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
     a = u.where("unit_type = 'paragraph'").alias("a")
-    b = u.where("unit_type = 'figure_caption'").select("paper_id", "page", *[F.col(c).alias("t" + c) for c in ("x0", "y0", "x1", "y1")]).alias("b")
-    over = F.expr("a.paper_id = b.paper_id and a.page = b.page and a.x0 < b.tx1 and a.x1 > b.tx0 and a.y0 < b.ty1 + 40 and a.y1 > b.ty0 - 40")
+    b = u.where("unit_type <> 'paragraph'").select("paper_id", "page", *[F.col(c).alias("t" + c) for c in ("x0", "y0", "x1", "y1")]).alias("b")
+    over = F.expr("a.paper_id = b.paper_id and a.page = b.page and a.x0 < b.tx1 and a.x1 > b.tx0 and a.y0 < b.ty1 and a.y1 > b.ty0")
     return a.join(b, over, "left_anti").select("unit_id")
 
 
@@ -191,14 +193,15 @@ tf AS (SELECT lang, doc_id, len(t) AS dl, term, len(list_filter(t, lambda x: x =
 {name} AS (SELECT lang, doc_id, term, times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS score FROM tf JOIN idf USING (lang, term) JOIN st USING (lang) JOIN q USING (term) WHERE tf > 0)"""
 
 
-_ODD = rf"[^\x20-\x7E\n\t{X.ALLOWED}]"
+# the fixed values of the allowed characters, written out for the SQL
+_ODD = r"[^\x20-\x7E\n\t·°±→↔≡′″ÅåΔδαβγμωΩ–—…‹›⋯×−⁻⁺⁰¹²³⁴⁵⁶⁷⁸⁹]"
 SQL = {
     "paragraph_split": r"""SELECT unit_id, CAST(pos AS INT) AS pos, paragraph FROM (
       SELECT unit_id, unnest(range(len(p))) AS pos, unnest(list_transform(p, lambda x: regexp_replace(replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), chr(10), ' '), '\s{2,}', ' ', 'g'))) AS paragraph
       FROM (SELECT unit_id, regexp_split_to_array(text, '\n\s*\n') AS p FROM document_units)) WHERE length(paragraph) >= 20""",
     "classify_unit": r"""SELECT unit_id, CASE WHEN regexp_matches(text, '^(Figure|Fig\.|FIGURE)\s*[0-9]') THEN 'figure_caption'
       WHEN length(text) < 70 AND NOT regexp_matches(text, '[.,;]$') AND length(regexp_replace(text, '[^\p{L}]', '', 'g')) > 0
-       AND length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) / length(regexp_replace(text, '[^\p{L}]', '', 'g')) > 0.5 THEN 'heading' ELSE 'paragraph' END AS kind FROM document_units""",
+       AND length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) / length(regexp_replace(text, '[^\p{L}]', '', 'g')) > 0.5 THEN 'heading' ELSE 'paragraph' END AS kind FROM (SELECT unit_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM document_units)""",
     "unit_ids": "SELECT unit_id, paper_id || '_' || doc_type || '_Page' || page || '_' || unit_type || row_number() OVER (PARTITION BY paper_id, doc_type, page, unit_type ORDER BY order_index, unit_id) AS made_id FROM document_units",
     "forward_fill": "SELECT unit_id, last_value(CASE WHEN unit_type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY page, order_index, unit_id ROWS UNBOUNDED PRECEDING) AS filled FROM document_units",
     "prev_next": "SELECT unit_id, lag(unit_id) OVER w AS prev_unit, lead(unit_id) OVER w AS next_unit FROM document_units WINDOW w AS (PARTITION BY paper_id ORDER BY page, order_index, unit_id)",
@@ -233,8 +236,8 @@ SQL = {
       f AS (SELECT registry_row_id, min(o) AS o FROM (SELECT registry_row_id, unnest(supporting_source_ids) AS source_id FROM compound_registry) JOIN u USING (source_id) GROUP BY 1)
       SELECT registry_row_id, paper_id || '_C' || row_number() OVER (PARTITION BY paper_id ORDER BY coalesce(o, 1000000000), registry_row_id) AS made_id, CAST(coalesce(o, 1000000000) AS BIGINT) AS first_seen FROM compound_registry LEFT JOIN f USING (registry_row_id)""",
     "pick_shortest_per_key": "SELECT paper_id, arg_min(unit_id, (length(text), unit_id)) AS unit_id, CAST(min(length(text)) AS INT) AS n FROM document_units WHERE unit_type = 'paragraph' GROUP BY 1".replace("arg_min(unit_id, (length(text), unit_id))", "list(unit_id ORDER BY length(text), unit_id)[1]"),
-    "bbox_anti_join": """SELECT unit_id FROM document_units a WHERE unit_type = 'paragraph' AND bbox IS NOT NULL AND NOT EXISTS (SELECT 1 FROM document_units b WHERE b.unit_type = 'figure_caption' AND b.bbox IS NOT NULL AND a.paper_id = b.paper_id AND a.page = b.page
-      AND a.bbox[1] < b.bbox[3] AND a.bbox[3] > b.bbox[1] AND a.bbox[2] < b.bbox[4] + 40 AND a.bbox[4] > b.bbox[2] - 40)""",
+    "bbox_anti_join": """SELECT unit_id FROM document_units a WHERE unit_type = 'paragraph' AND bbox IS NOT NULL AND NOT EXISTS (SELECT 1 FROM document_units b WHERE b.unit_type <> 'paragraph' AND b.bbox IS NOT NULL AND a.paper_id = b.paper_id AND a.page = b.page
+      AND a.bbox[1] < b.bbox[3] AND a.bbox[3] > b.bbox[1] AND a.bbox[2] < b.bbox[4] AND a.bbox[4] > b.bbox[2])""",
     "content_hash": "SELECT c_custkey, substr(sha256(concat_ws(chr(31), c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR))), 1, 16) AS hash FROM customer",
 }
 _MEMBERS = "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id FROM documents WHERE text IS NOT NULL"
