@@ -135,6 +135,13 @@ def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, np.bincount(inverse, weights=n, minlength=len(u)).astype(np.int64)
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in ascending order, how often each occurs); numbers sort faster than they hash."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[at], np.diff(np.r_[at, len(keys)])
+
+
 def count_words(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in ascending order, rarity in bits) of the words that are less rare than
     RARITY_BITS. All words of all texts are counted; a task adds its own up first."""
@@ -248,11 +255,11 @@ class Reader:
         new_window = pos % 100 == 0
         window = np.cumsum(new_window) - 1
         inside = np.bincount(window)
-        different = np.bincount(np.unique(window << 32 | word) >> 32, minlength=len(inside))
+        different = np.bincount(_runs(window << 32 | word)[0] >> 32, minlength=len(inside))
         w_doc = doc[new_window]
         full = (inside >= 50) | (pos[new_window] == 0)
         ttr = np.bincount(w_doc[full], weights=(different / inside)[full], minlength=len(n)) / np.bincount(w_doc[full], minlength=len(n))
-        pairs, times = np.unique(doc << 32 | word, return_counts=True)
+        pairs, times = _runs(doc << 32 | word)
         once = np.bincount((pairs >> 32)[times == 1], minlength=len(n))
         has = [per_word(sort >> b & 1) for b in range(6)]
         commas, semis, exclaims, brackets, hyphens, digits, upper = marks.T
@@ -278,7 +285,8 @@ def text_features(docs: DataFrame, keep: list[str], text_col: str, table: tuple[
     level_no and score; null for null and blank texts. A task has one reader."""
     shared = docs.sparkSession.sparkContext.broadcast((table, model))
     src = docs.select(*keep, text_col)
-    made = "f array<double>" if model is None else "level_no int, score double"
+    made = T.StructType.fromDDL("f array<double>" if model is None else "level_no int, score double").fields
+    names = [*keep, *[f.name for f in made]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, model = shared.value
@@ -295,9 +303,9 @@ def text_features(docs: DataFrame, keep: list[str], text_col: str, table: tuple[
                 cols = [values.take(index)]
             else:
                 cols = [pa.array(model.predict(x).astype(np.int32)).take(index), pa.array(model.score(x)).take(index)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[*keep, *[f.name for f in T.StructType.fromDDL(made).fields]])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=names)
 
-    return src.mapInArrow(run, T.StructType([*src.schema.fields[: len(keep)], *T.StructType.fromDDL(made).fields]))
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[: len(keep)], *made]))
 
 
 class OrdinalModel:
