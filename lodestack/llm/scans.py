@@ -3,9 +3,11 @@
 1. One pass over all texts counts words, neighbouring words, short segments of
    lines, and section names with and without a number.
 2. Skip-gram vectors with negative sampling are trained on the counted pairs.
-3. A rare word is linked to a much more frequent one that a plausible misreading
-   of glyphs leads to, if their vectors agree; the less a word's shape shows a
-   misreading, the more they must.
+3. A rare word is linked to a more frequent one that a plausible misreading of
+   glyphs leads to, if the vector learned for the frequent word agrees with the one
+   composed of the rare word's neighbours. The less the counts and the word's shape
+   tell of a misreading, the more they must: a rare word of its own, one glyph away
+   from a frequent one, stands among other words and stays.
 4. Segments that hardly ever occur but as a whole segment are page furniture.
 5. A second pass corrects linked words (by the words around them where several
    corrections are possible), drops furniture and page numbers, joins divided
@@ -47,19 +49,27 @@ SOFT = "\xad¬"
 _DIVIDING = frozenset(HYPHENS + SOFT)
 
 #: A word must be this many times as frequent as the word it corrects.
-FREQUENCY_RATIO = 8.0
-#: The same for words of a shape that no word has.
-ODD_RATIO = 1.5
-#: The same for words without neighbours.
-LONE_RATIO = 8.0
-#: Cosine that vectors must reach: for words with a character that no word has, for others, and for short others.
-SIM_ODD, SIM_PLAIN = -0.2, 0.2
+FREQUENCY_RATIO = 4.0
+#: The same for words of a shape that no word has, and for words without neighbours to compare.
+ODD_RATIO, LONE_RATIO = 1.5, 8.0
+#: Cosine that vectors must reach at a ratio of SIM_AT; it falls by SIM_SLOPE with each doubling of the ratio, to SIM_LEAST
+#: (a misreading of a common word is a thousand times rarer than the word; another word seldom is), and by SIM_ODD for an odd shape or an accent that the corrected word lacks.
+SIM_PLAIN, SIM_AT, SIM_SLOPE, SIM_LEAST, SIM_ODD = 0.4, 8.0, 0.06, 0.05, 0.3
+#: It falls too by SIM_NOISE / sqrt(neighbours met), as few neighbours tell little, and the product of the vectors, which
+#: is about the log of how much likelier the neighbours make the word, may miss it by DOT_SLACK: vectors near the average word tell nothing.
+SIM_NOISE, DOT_SLACK = 1.0, 0.2
 MIN_LENGTH = 4
 #: A segment is furniture if it occurs so often and so many of all occurrences of its rarest pair of words are the whole segment.
 FURNITURE_COUNT, FURNITURE_SHARE = 3, 0.75
 SEGMENT_WORDS = 9
-#: Vectors: the most frequent words, dimensions, rounds, negative samples. Rarer words get the mean of their neighbours' vectors.
-VECTOR_WORDS, DIMS, EPOCHS, NEGATIVES = 20_000, 24, 4, 4
+#: Vectors: the most frequent words have one each, all others share SHARED_ROWS by hash, so that every pair is trained on.
+VECTOR_WORDS, SHARED_ROWS = 20_000, 1 << 14
+#: Dimensions, rounds, passes of a task over its pairs in a round, negative samples a pair, and how many of them a batch draws.
+DIMS, EPOCHS, PASSES, NEGATIVES, DRAWN = 24, 4, 3, 4, 64
+#: Steps a round takes at least, in more passes where pairs are few, pairs of a step, and the longest change of a vector in one.
+LEAST_STEPS, BATCH, MOST_CHANGE = 100, 2048, 0.5
+#: Words up to this length are expanded to all their printed forms; of longer ones only the first letters are.
+FORM_LETTERS, KEY_LETTERS = 14, 10
 WINDOW = 2
 MAX_BROADCAST = 400_000
 #: What makes a word known: this count, and this share of all words in a large corpus, where misreadings recur too.
@@ -258,53 +268,68 @@ def count_all(units: DataFrame, text: str, section: str, unit_type: str) -> Data
 # --- vectors ------------------------------------------------------------------
 
 
-def skip_gram(counts: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(words, word vectors, context vectors) of the VECTOR_WORDS most frequent words,
-    trained with negative sampling on all their counted pairs. Each round hands the
-    vectors (of fixed greatest size) to the tasks; a task updates the words it holds
-    and its own copy of the context vectors, whose changes are averaged."""
+class Vectors:
+    """Learned vectors: ``w`` of words, ``c`` of contexts, by row; ``mean_w`` and
+    ``mean_c`` are those of the average word, which every comparison is made against."""
+
+    def __init__(self, words: list[str], w: np.ndarray, c: np.ndarray, mean_w: np.ndarray, mean_c: np.ndarray):
+        self.number = {x: i for i, x in enumerate(words)}
+        self.w, self.c, self.mean_w, self.mean_c = w, c, mean_w, mean_c
+
+    def row(self, word: str) -> int:
+        i = self.number.get(word)
+        return len(self.number) + zlib.crc32(word.encode("utf-8", "surrogatepass")) % SHARED_ROWS if i is None else i
+
+
+def skip_gram(counts: DataFrame) -> Vectors:
+    """Vectors trained with negative sampling on all counted pairs of neighbours. The
+    VECTOR_WORDS most frequent words have rows of their own, others share rows by
+    hash; so the vectors have a fixed greatest size and no pair is left out. Each
+    round hands them to the tasks; a task updates the words it holds and its own copy
+    of the context vectors, whose changes are averaged."""
     spark = counts.sparkSession
-    top = counts.where("kind = 'w' and n > 1").orderBy(F.desc("n"), "a").limit(VECTOR_WORDS).select("a", "n").toPandas()
-    words, freq = top["a"].tolist(), top["n"].to_numpy(float)
-    v = len(words)
+    top = counts.where("kind = 'w'").orderBy(F.desc("n"), "a").limit(VECTOR_WORDS).select("a", "n").toPandas()
+    words, v = top["a"].tolist(), len(top) + SHARED_ROWS
     rng = np.random.default_rng(7)
-    w, c = rng.normal(0, 0.5 / DIMS**0.5, (v, DIMS)).astype(np.float32), rng.normal(0, 0.5 / DIMS**0.5, (v, DIMS)).astype(np.float32)
-    if v < 3:
-        return words, w, c
-    number = spark.sparkContext.broadcast({x: i for i, x in enumerate(words)})
-    draw = np.cumsum(freq**0.75)
-    draw /= draw[-1]
+    # small at first, so that what the text doesn't tell apart stays near the average word
+    w, c = rng.normal(0, 0.1 / DIMS**0.5, (v, DIMS)).astype(np.float32), np.zeros((v, DIMS), np.float32)
+    out = Vectors(words, w, c, np.zeros(DIMS), np.zeros(DIMS))
+    if len(words) < 3:
+        return out
+    shared = spark.sparkContext.broadcast(out)
 
     @F.pandas_udf("int")
-    def as_id(s: pd.Series) -> pd.Series:
-        return s.map(number.value).fillna(-1).astype("int32")
-
-    both = counts.where("kind in ('p1', 'p2')").select(as_id("a").alias("x"), as_id("b").alias("y"), "n").where("x >= 0 and y >= 0")
+    def as_row(s: pd.Series) -> pd.Series:
+        row = shared.value.row
+        return pd.Series([row(x) for x in s], dtype="int32")
+
+    freq = np.zeros(v)
+    rest = counts.where("kind = 'w'").groupBy(as_row("a").alias("x")).agg(F.sum("n").alias("n")).toPandas()
+    freq[rest["x"].to_numpy()] = rest["n"].to_numpy(float)
+    noise = freq**0.75 / (freq**0.75).sum()
+    both = counts.where("kind in ('p1', 'p2')").select(as_row("a").alias("x"), as_row("b").alias("y"), "n")
     both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"), "n")).groupBy("x", "y").agg(F.sum("n").alias("n"))
-    tasks = max(1, min(spark.sparkContext.defaultParallelism, v // 1000))
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, len(words) // 1000))
     pairs = settle(both.repartition(tasks, "x"), "pairs")
     for epoch in range(EPOCHS):
-        state = spark.sparkContext.broadcast((w, c, draw))
-        rate = 0.25 * (1 - epoch / EPOCHS) + 0.02
+        state = spark.sparkContext.broadcast((w, c, np.cumsum(noise)))
 
-        def run(frames: Iterator[pd.DataFrame], state=state, rate=rate, epoch=epoch) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pd.DataFrame], state=state, epoch=epoch) -> Iterator[pd.DataFrame]:
             w0, c0, cum = state.value
             w1, c1 = w0.copy(), c0.copy()
-            mine: set[int] = set()
-            rng = np.random.default_rng(1000 + epoch)
-            for f in frames:
-                f = f.sort_values(["x", "y"])
-                x, y, n = f["x"].to_numpy(), f["y"].to_numpy(), f["n"].to_numpy(float)
-                weight = np.minimum(1.0, (n / 50.0) ** 0.75).astype(np.float32)
+            f = pd.concat(list(frames) or [pd.DataFrame({"x": [], "y": [], "n": []})]).sort_values(["x", "y"])
+            x, y, n = f["x"].to_numpy(np.int64), f["y"].to_numpy(np.int64), f["n"].to_numpy(float)
+            weight = np.minimum(1.0, (n / 50.0) ** 0.75).astype(np.float32)
+            rng = np.random.default_rng([1000 + epoch, len(x)])
+            passes = max(PASSES, -(-LEAST_STEPS // max(1, -(-len(x) // BATCH))))
+            for k in range(passes if len(x) else 0):
+                rate = 0.25 * (1 - (epoch * passes + k) / (EPOCHS * passes)) + 0.02
                 order = rng.permutation(len(x))
-                for at in range(0, len(x), 2048):
-                    i = order[at : at + 2048]
-                    step(w1, c1, x[i], y[i], weight[i], 1.0, rate)
-                    for _ in range(NEGATIVES):
-                        z = np.minimum(np.searchsorted(cum, rng.random(len(i))), len(cum) - 1)
-                        step(w1, c1, x[i], z, weight[i], 0.0, rate)
-                mine.update(np.unique(x).tolist())
-            ids = np.array(sorted(mine), np.int64)
+                for at in range(0, len(x), BATCH):
+                    i = order[at : at + BATCH]
+                    z = np.unique(np.minimum(np.searchsorted(cum, rng.random(DRAWN)), len(cum) - 1))
+                    step(w1, c1, x[i], y[i], z, weight[i], rate)
+            ids = np.unique(x)
             yield pd.DataFrame({"kind": 0, "i": ids, "v": list(w1[ids].astype(float))})
             touched = np.flatnonzero((c1 != c0).any(1))
             yield pd.DataFrame({"kind": 1, "i": touched, "v": list((c1 - c0)[touched].astype(float))})
@@ -320,18 +345,35 @@ def skip_gram(counts: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
             np.add.at(delta, part["i"].to_numpy(), np.array(part["v"].tolist(), np.float32))
             np.add.at(times, part["i"].to_numpy(), 1.0)
             c = c + delta / np.maximum(times, 1.0)
-    return words, w, c
+    return Vectors(words, w, c, (freq / freq.sum()) @ w, noise @ c)
+
+
+def step(w, c, x, y, z, weight, rate: float) -> None:
+    """One gradient step for a batch of pairs: sigmoid(w_x . c_y) towards 1, and towards 0
+    with the drawn contexts ``z``, which all pairs of the batch share."""
+    a, b, d = w[x], c[y], c[z]
+    near = (rate * weight * (1 - _sigmoid((a * b).sum(1))))[:, None]
+    far = -(rate * NEGATIVES / len(z)) * weight[:, None] * _sigmoid(a @ d.T)
+    _spread(w, x, near * b + far @ d)
+    _spread(c, y, near * a)
+    c[z] += _held(far.T @ a / np.sqrt(max(1.0, NEGATIVES * len(x) / len(z))))
 
 
-def step(w, c, x, y, weight, label: float, rate: float) -> None:
-    """One gradient step of sigmoid(w_x . c_y) towards ``label`` for a batch of pairs."""
-    a, b = w[x], c[y]
-    g = (rate * weight * (label - 1 / (1 + np.exp(-np.clip((a * b).sum(1), -15, 15)))))[:, None]
-    for target, at, change in ((w, x, g * b), (c, y, g * a)):
-        u, inverse, n = np.unique(at, return_inverse=True, return_counts=True)
-        total = np.zeros((len(u), target.shape[1]), np.float32)
-        np.add.at(total, inverse, change)
-        target[u] += total / np.sqrt(n)[:, None]
+def _sigmoid(s: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(s, -15, 15)))
+
+
+def _spread(target: np.ndarray, at: np.ndarray, change: np.ndarray) -> None:
+    """Add the changes of each row, damped where many meet."""
+    order = np.argsort(at, kind="stable")
+    rows = at[order]
+    begin = np.flatnonzero(np.diff(rows, prepend=rows[0] - 1))
+    target[rows[begin]] += _held(np.add.reduceat(change[order], begin) / np.sqrt(np.diff(np.r_[begin, len(rows)]))[:, None])
+
+
+def _held(change: np.ndarray) -> np.ndarray:
+    """Changes of a row no longer than MOST_CHANGE, so that no vector runs away."""
+    return change * np.minimum(1.0, MOST_CHANGE / np.maximum(np.linalg.norm(change, axis=1, keepdims=True), 1e-9))
 
 
 # --- links --------------------------------------------------------------------
@@ -356,48 +398,97 @@ def _places(s: str, part: str) -> Iterator[int]:
         i = s.find(part, i + 1)
 
 
-def link_words(counts: DataFrame, words: list[str], c: np.ndarray) -> DataFrame:
-    """wrong, right, edits, n_wrong, n_right, odd, sim for every rare word with a
-    printed form that is FREQUENCY_RATIO times as frequent (ODD_RATIO for words of a
-    shape that no word has), if their vectors agree enough. ``words`` and ``c`` are
-    the words with vectors and their context vectors."""
-    spark = counts.sparkSession
-    vocab = counts.where("kind = 'w'").select(F.col("a").alias("word"), "n")
+def glyph_edits(wrong: str, right: str, most: int = 2) -> int | None:
+    """How many glyph changes, at most ``most``, lead from ``wrong`` to ``right``; None if
+    more. The same as looking ``right`` up in all printed forms, but only changes near
+    the first difference are tried, so that a word of any length is quick."""
+    if wrong == right:
+        return 0
+    if not most or abs(len(wrong) - len(right)) > 2 * most:
+        return None
+    m = next((i for i, (p, q) in enumerate(zip(wrong, right)) if p != q), min(len(wrong), len(right)))
+    best = None
+    for i in range(max(0, m - 2), min(len(wrong), m + 3)):
+        for a, b in GLYPHS:
+            if wrong.startswith(a, i):
+                k = glyph_edits(wrong[:i] + b + wrong[i + len(a) :], right, most - 1)
+                if k is not None and (best is None or k + 1 < best):
+                    best = k + 1
+    return best
+
+
+def _candidates(vocab: DataFrame) -> DataFrame:
+    """wrong, n_wrong, right, n_right, edits: words with a printed form that is a word.
+    Both sides meet by a shuffle join: at the whole form where the word has at most
+    FORM_LETTERS letters, so that forms are bounded; longer ones at the first
+    KEY_LETTERS of the forms of their beginning, checked in full."""
 
     @F.pandas_udf("array<struct<word:string,edits:int>>")
     def forms(s: pd.Series) -> pd.Series:
         return pd.Series([[{"word": f, "edits": e} for f, e in sorted(printed_forms(x).items())] for x in s], dtype=object)
 
-    rare = vocab.where((F.length("word") >= MIN_LENGTH - 1) & F.col("word").rlike(r"\p{L}{2}"))
-    cand = rare.select(F.col("word").alias("wrong"), F.col("n").alias("n_wrong"), F.explode(forms("word")).alias("f")).select("wrong", "n_wrong", "f.word", "f.edits")
+    @F.pandas_udf("array<string>")
+    def keys(s: pd.Series) -> pd.Series:
+        return pd.Series([sorted({f[:KEY_LETTERS] for f in (*printed_forms(x[:FORM_LETTERS]), x)}) for x in s], dtype=object)
+
+    @F.pandas_udf("int")
+    def edits(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([glyph_edits(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+    right = vocab.where((F.length("word") >= MIN_LENGTH) & F.col("word").rlike(r"^\p{L}+$")).select(F.col("word").alias("right"), F.col("n").alias("n_right"))
+    rare = vocab.where((F.length("word") >= MIN_LENGTH - 1) & F.col("word").rlike(r"\p{L}{2}")).select(F.col("word").alias("wrong"), F.col("n").alias("n_wrong"))
+    short = rare.where(F.length("wrong") <= FORM_LETTERS).select("wrong", "n_wrong", F.explode(forms("wrong")).alias("f")).select("wrong", "n_wrong", F.col("f.word").alias("right"), F.col("f.edits").alias("edits"))
+    short = short.join(right.hint("merge"), "right")
+    long = rare.where(F.length("wrong") > FORM_LETTERS).select("wrong", "n_wrong", F.explode(keys("wrong")).alias("key"))
+    long = long.join(right.where(F.length("right") >= KEY_LETTERS).withColumn("key", F.substring("right", 1, KEY_LETTERS)).hint("merge"), "key")
+    long = long.where((F.col("n_right") > F.col("n_wrong")) & (F.abs(F.length("wrong") - F.length("right")) <= 4)).select("wrong", "n_wrong", "right", "n_right").distinct().withColumn("edits", edits("wrong", "right"))
+    return short.unionByName(long.where("edits > 0"))
+
+
+def link_words(counts: DataFrame, vectors: Vectors) -> DataFrame:
+    """wrong, right, edits, n_wrong, n_right, odd, sim for every rare word with a
+    printed form that is FREQUENCY_RATIO times as frequent (ODD_RATIO for words of a
+    shape that no word has), if the vectors agree as much as the rest of the evidence
+    leaves open. ``sim`` is the cosine of the learned vector of ``right`` (composed,
+    if it has no row of its own) and the composed one of ``wrong``, both against the
+    average word; null where a word has no neighbours, as in a title: then the counts
+    decide, at LONE_RATIO."""
+    spark = counts.sparkSession
     odd = F.col("wrong").rlike(_ODD.pattern)
-    links = cand.join(vocab.hint("merge"), "word").where(F.col("n") >= F.when(odd, F.lit(ODD_RATIO)).otherwise(F.lit(FREQUENCY_RATIO)) * F.col("n_wrong"))
-    links = links.select("wrong", F.col("word").alias("right"), "edits", "n_wrong", F.col("n").alias("n_right"))
-    links = settle(links.where((F.length("right") >= MIN_LENGTH) & F.col("right").rlike(r"^\p{L}+$")), "links")
-    if len(words) < 3:
-        return links.limit(0).select("*", F.lit(False).alias("odd"), F.lit(0.0).alias("sim"))
-    # vector of a word: mean of its neighbours' context vectors, each pair weighted by its count
-    named = spark.createDataFrame(list(zip(words, _normal(c).tolist())), "y string, v array<double>")
-    involved = links.select(F.explode(F.array("wrong", "right")).alias("x")).distinct()
+    links = _candidates(counts.where("kind = 'w'").select(F.col("a").alias("word"), "n")).withColumn("odd", odd)
+    links = settle(links.where(F.col("n_right") >= F.when(F.col("odd"), F.lit(ODD_RATIO)).otherwise(F.lit(FREQUENCY_RATIO)) * F.col("n_wrong")), "links")
+    if len(vectors.number) < 3:
+        return links.limit(0).select("wrong", "right", "edits", "n_wrong", "n_right", "odd", F.lit(0.0).alias("sim"))
+    # a composed vector is the mean of the neighbours' context vectors, each weighted by the root of its count
+    table = spark.createDataFrame([(i, v) for i, v in enumerate((vectors.c - vectors.mean_c).astype(float).tolist())], "y int, v array<double>")
+    learned = spark.createDataFrame([(x, v) for x, v in zip(vectors.number, (vectors.w - vectors.mean_w).astype(float).tolist())], "right string, vb array<double>")
+    shared = spark.sparkContext.broadcast(vectors)
+
+    @F.pandas_udf("int")
+    def as_row(s: pd.Series) -> pd.Series:
+        row = shared.value.row
+        return pd.Series([row(x) for x in s], dtype="int32")
+
+    own = F.broadcast(learned.select("right").withColumn("own", F.lit(True)))  # at most VECTOR_WORDS rows
+    without = links.select("right").distinct().join(own, "right", "left_anti")
+    involved = links.select(F.col("wrong").alias("x")).unionByName(without.select(F.col("right").alias("x"))).distinct()
     near = counts.where("kind in ('p1', 'p2')")
     near = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "n").unionByName(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "n"))
-    # the size of the vectors' table is bounded by VECTOR_WORDS
-    near = near.join(involved.hint("merge"), "x", "left_semi").join(F.broadcast(named), "y")
-    dims = [F.sum(F.col("v")[i] * F.sqrt("n")).alias(f"d{i}") for i in range(DIMS)]
-    vec = settle(near.groupBy("x").agg(*dims).select("x", F.array(*[f"d{i}" for i in range(DIMS)]).alias("v")), "vec")
-    a, b = vec.select(F.col("x").alias("wrong"), F.col("v").alias("va")), vec.select(F.col("x").alias("right"), F.col("v").alias("vb"))
+    # the table of vectors has at most VECTOR_WORDS + SHARED_ROWS rows
+    near = near.join(involved.hint("merge"), "x", "left_semi").select("x", "n", as_row("y").alias("y")).join(F.broadcast(table), "y")
+    weight = F.sum(F.sqrt("n"))
+    dims = [(F.sum(F.col("v")[i] * F.sqrt("n")) / weight).alias(f"d{i}") for i in range(DIMS)]
+    vec = settle(near.groupBy("x").agg(*dims, F.sum("n").alias("m")).select("x", "m", F.array(*[f"d{i}" for i in range(DIMS)]).alias("v")), "vec")
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
-    out = links.join(a.hint("merge"), "wrong", "left").join(b.hint("merge"), "right", "left")
-    sim = dot("va", "vb") / F.sqrt(dot("va", "va") * dot("vb", "vb"))
-    out = out.withColumn("odd", F.col("wrong").rlike(_ODD.pattern)).withColumn("sim", sim)
-    # a word that stands alone, as in a title, has no neighbours to compare
-    alone = F.col("sim").isNull() & (F.col("odd") | (F.col("n_right") >= LONE_RATIO * F.col("n_wrong")))
-    keep = alone | (F.col("sim") >= F.when(F.col("odd"), F.lit(SIM_ODD)).otherwise(F.lit(SIM_PLAIN)))
-    return out.where(keep).select("wrong", "right", "edits", "n_wrong", "n_right", "odd", "sim")
-
-
-def _normal(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-6)
+    out = links.join(vec.select(F.col("x").alias("wrong"), F.col("v").alias("va"), "m").hint("merge"), "wrong", "left")
+    out = out.join(F.broadcast(learned), "right", "left").join(vec.select(F.col("x").alias("right"), F.col("v").alias("vc")).hint("merge"), "right", "left").withColumn("vb", F.coalesce("vb", "vc"))
+    sizes = F.sqrt(dot("va", "va") * dot("vb", "vb"))
+    out = out.withColumn("dot", dot("va", "vb")).withColumn("sizes", sizes).withColumn("sim", F.col("dot") / F.nullif("sizes", F.lit(0.0)))
+    ratio = F.col("n_right") / F.col("n_wrong")
+    accent = ~F.col("wrong").rlike(r"^[\x00-\x7F]+$") & F.col("right").rlike(r"^[\x00-\x7F]+$")
+    wanted = F.greatest(F.lit(SIM_LEAST), SIM_PLAIN - SIM_SLOPE * F.log2(ratio / SIM_AT)) - F.when(F.col("odd") | accent, SIM_ODD).otherwise(0.0) - SIM_NOISE / F.sqrt("m")
+    keep = F.when(F.col("sim").isNull(), F.col("odd") | (ratio >= LONE_RATIO)).otherwise(F.col("dot") >= wanted * F.col("sizes") - DOT_SLACK)
+    return out.where(keep).select("wrong", "right", "edits", "n_wrong", "n_right", "odd", "sim", "m", "dot", "sizes")
 
 
 def find_furniture(counts: DataFrame, links: DataFrame) -> DataFrame:
@@ -429,7 +520,7 @@ def page_stems(counts: DataFrame) -> DataFrame:
 class Repairer:
     """Repairs one field at a time, given what the counting found."""
 
-    def __init__(self, links: dict[str, list[str]], furniture: frozenset[str], stems: frozenset[str], known: frozenset[str] | np.ndarray, vectors: tuple[dict[str, int], np.ndarray, np.ndarray]):
+    def __init__(self, links: dict[str, list[str]], furniture: frozenset[str], stems: frozenset[str], known: frozenset[str] | np.ndarray, vectors: Vectors | None):
         self.vectors = vectors
         self.use(links, known, furniture, stems)
 
@@ -592,13 +683,19 @@ class Repairer:
         return "".join(out) + s[pos:]
 
     def _best(self, options: list[str], around: list[str]) -> str:
-        """The option that goes best with the words around, by the vectors."""
-        number, w, c = self.vectors
-        ctx = [number[x] for x in around if x in number]
-        if not ctx:
+        """The option that goes best with the words around, by the vectors: of the learned
+        vectors, the one nearest to the composed one of the words around."""
+        v = self.vectors
+        if v is None or not around:
             return options[0]
-        mean = c[ctx].mean(0)
-        return max(options, key=lambda x: (float(w[number[x]] @ mean) if x in number else -9.0, -options.index(x)))
+        mean = v.c[[v.row(x) for x in around]].mean(0) - v.mean_c
+        size = np.linalg.norm(mean)
+
+        def fit(x: str) -> float:
+            own = v.w[v.row(x)] - v.mean_w
+            return float(own @ mean) / max(1e-9, float(np.linalg.norm(own)) * size)
+
+        return max(options, key=lambda x: (fit(x), -options.index(x)))
 
 
 def _lines(text: str) -> list[str]:
@@ -692,12 +789,11 @@ def repair_units(units: DataFrame, id_col: str = "unit_id", text: str = "text",
     spark = units.sparkSession
     base = units.select(F.col(id_col).alias("__id"), F.col(text).alias("text"), F.col(section).alias("section"), F.col(unit_type).alias("unit_type"))
     counts = settle(count_all(base, "text", "section", "unit_type"), "counts")
-    words, w, c = skip_gram(counts)
-    links = settle(link_words(counts, words, c), "linked")
+    vectors = skip_gram(counts)
+    links = settle(link_words(counts, vectors), "linked")
     furniture = settle(find_furniture(counts, links).select("segment").unionByName(page_stems(counts).select(F.concat(F.lit("\x02"), "stem").alias("segment"))), "furniture")
     known = settle(known_words(counts), "known")
     by_row = max(links.count(), known.count(), furniture.count()) > max_links
-    vectors = ({x: i for i, x in enumerate(words)}, w, c)
     if not by_row:
         sure, marks = frozenset(r[0] for r in known.collect()), [r[0] for r in furniture.collect()]
         table = _link_table([tuple(r) for r in links.select("wrong", "right", "edits", "n_right").collect()])
@@ -783,7 +879,7 @@ def _own_marks(base: DataFrame, furniture: DataFrame) -> DataFrame:
     """key, marks: furniture and page stems among all segments that repair() may look up in the rows of a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixer = Repairer({}, frozenset(), frozenset(), frozenset(), ({}, np.zeros((0, DIMS)), np.zeros((0, DIMS))))
+        fixer = Repairer({}, frozenset(), frozenset(), frozenset(), None)
         for b in batches:
             keys, segments = [], []
             for key, t, s, k, own in zip(*(b.column(i).to_pylist() for i in range(5))):

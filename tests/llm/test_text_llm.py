@@ -150,7 +150,7 @@ def test_scans_edges(spark):
 
 
 def test_divided_words():
-    fixer = scans.Repairer({}, frozenset(), frozenset(), np.zeros(scans.KNOWN_BUCKETS, bool), ({}, np.zeros((0, 2)), np.zeros((0, 2))))
+    fixer = scans.Repairer({}, frozenset(), frozenset(), np.zeros(scans.KNOWN_BUCKETS, bool), None)
     for text, kinds in {
         "the edge- \nand corner-sharing": [],
         "[SbCl6]3-\nanions": [],
