@@ -459,31 +459,48 @@ def link_words(counts: DataFrame, vectors: Vectors) -> DataFrame:
     links = settle(links.where(F.col("n_right") >= F.when(F.col("odd"), F.lit(ODD_RATIO)).otherwise(F.lit(FREQUENCY_RATIO)) * F.col("n_wrong")), "links")
     if len(vectors.number) < 3:
         return links.limit(0).select("wrong", "right", "edits", "n_wrong", "n_right", "odd", F.lit(0.0).alias("sim"))
-    # a composed vector is the mean of the neighbours' context vectors, each weighted by the root of its count
-    table = spark.createDataFrame([(i, v) for i, v in enumerate((vectors.c - vectors.mean_c).astype(float).tolist())], "y int, v array<double>")
-    learned = spark.createDataFrame([(x, v) for x, v in zip(vectors.number, (vectors.w - vectors.mean_w).astype(float).tolist())], "right string, vb array<double>")
     shared = spark.sparkContext.broadcast(vectors)
 
-    @F.pandas_udf("int")
-    def as_row(s: pd.Series) -> pd.Series:
-        row = shared.value.row
-        return pd.Series([row(x) for x in s], dtype="int32")
+    @F.pandas_udf("boolean")
+    def has_row(s: pd.Series) -> pd.Series:
+        return s.isin(shared.value.number.keys())
 
-    own = F.broadcast(learned.select("right").withColumn("own", F.lit(True)))  # at most VECTOR_WORDS rows
-    without = links.select("right").distinct().join(own, "right", "left_anti")
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the neighbours' context vectors, each weighted by the root of its count."""
+        v = shared.value
+        c = v.c - v.mean_c
+        for b in batches:
+            words, x = np.unique(np.array(b.column(0).to_pylist(), object), return_inverse=True)
+            n = b.column(2).to_numpy().astype(float)
+            if not len(n):
+                continue
+            root = np.sqrt(n)
+            total = np.zeros((len(words), DIMS))
+            np.add.at(total, x, c[[v.row(y) for y in b.column(1).to_pylist()]] * root[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(words.tolist(), pa.string()), pa.array(np.bincount(x, n)), pa.array(np.bincount(x, root)), *[pa.array(total[:, i]) for i in range(DIMS)]], names=names)
+
+    names = ["x", "m", "roots", *[f"d{i}" for i in range(DIMS)]]
+    without = links.select("right").distinct().where(~has_row("right"))
     involved = links.select(F.col("wrong").alias("x")).unionByName(without.select(F.col("right").alias("x"))).distinct()
     near = counts.where("kind in ('p1', 'p2')")
     near = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "n").unionByName(near.select(F.col("b").alias("x"), F.col("a").alias("y"), "n"))
-    # the table of vectors has at most VECTOR_WORDS + SHARED_ROWS rows
-    near = near.join(involved.hint("merge"), "x", "left_semi").select("x", "n", as_row("y").alias("y")).join(F.broadcast(table), "y")
-    weight = F.sum(F.sqrt("n"))
-    dims = [(F.sum(F.col("v")[i] * F.sqrt("n")) / weight).alias(f"d{i}") for i in range(DIMS)]
-    vec = settle(near.groupBy("x").agg(*dims, F.sum("n").alias("m")).select("x", "m", F.array(*[f"d{i}" for i in range(DIMS)]).alias("v")), "vec")
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
+    near = near.join(involved.hint("merge"), "x", "left_semi").select("x", "y", "n")
+    sums = near.mapInArrow(compose, "x string, " + ", ".join(f"{c} double" for c in names[1:])).groupBy("x").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    vec = settle(sums.select("x", "m", F.array(*[F.col(c) / F.col("roots") for c in names[3:]]).alias("v")), "vec")
+
+    @F.pandas_udf("struct<dot:double,sizes:double>")
+    def compare(right: pd.Series, va: pd.Series, vc: pd.Series) -> pd.DataFrame:
+        """Of the composed vector of the wrong word and the learned one of the right word."""
+        v = shared.value
+        out = []
+        for r, a, b in zip(right, va, vc):
+            b = v.w[v.number[r]] - v.mean_w if r in v.number else b
+            out.append((None, None) if a is None or b is None else (float(np.dot(a, b)), float(np.linalg.norm(a) * np.linalg.norm(b))))
+        return pd.DataFrame(out, columns=["dot", "sizes"])
+
     out = links.join(vec.select(F.col("x").alias("wrong"), F.col("v").alias("va"), "m").hint("merge"), "wrong", "left")
-    out = out.join(F.broadcast(learned), "right", "left").join(vec.select(F.col("x").alias("right"), F.col("v").alias("vc")).hint("merge"), "right", "left").withColumn("vb", F.coalesce("vb", "vc"))
-    sizes = F.sqrt(dot("va", "va") * dot("vb", "vb"))
-    out = out.withColumn("dot", dot("va", "vb")).withColumn("sizes", sizes).withColumn("sim", F.col("dot") / F.nullif("sizes", F.lit(0.0)))
+    out = out.join(vec.select(F.col("x").alias("right"), F.col("v").alias("vc")).hint("merge"), "right", "left").withColumn("z", compare("right", "va", "vc"))
+    out = out.withColumn("dot", F.col("z.dot")).withColumn("sizes", F.col("z.sizes")).withColumn("sim", F.col("dot") / F.nullif("sizes", F.lit(0.0)))
     ratio = F.col("n_right") / F.col("n_wrong")
     accent = ~F.col("wrong").rlike(r"^[\x00-\x7F]+$") & F.col("right").rlike(r"^[\x00-\x7F]+$")
     wanted = F.greatest(F.lit(SIM_LEAST), SIM_PLAIN - SIM_SLOPE * F.log2(ratio / SIM_AT)) - F.when(F.col("odd") | accent, SIM_ODD).otherwise(0.0) - SIM_NOISE / F.sqrt("m")
