@@ -12,13 +12,12 @@ each field::
 A quote without a valid close, or a bracket without its partner, makes its
 alternative fail; the parser backtracks and reads the mark as an ordinary
 character, with an error flag. What separates depends on the kind of field, see
-``label_separator`` and ``entry_separator``.
+``Field``, which remembers what each rule gave where, as a packrat parser does.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,112 +28,171 @@ QUOTES = {'"': '"', "'": "'", "“": "”", "„": "“", "‘": "’", "«": "
 BRACKETS = {"(": ")", "[": "]", "{": "}"}
 
 _LABEL_SEP = re.compile(r"[;|/,&\t\n\r\v\f\x85  、；，／｜]+|[  ]+and[  ]+")
-#: A comma between the locants of a chemical name, as in 2,2'-bipyridine.
-_LOCANT = re.compile(r"(?<=[\dN'′]),(?=(?:\d+|N)['′]*(?:,(?:\d+|N)['′]*)*-[a-zα-ω(\[]{3})")
+#: A run in which commas may stand between the locants of a chemical name, as in 2,2'-bipyridine, one locant, and what follows the last.
+_LOCANT_RUN, _LOCANT = re.compile(r"[\dN'′,]+"), re.compile(r"(?:\d+|N)['′]*")
+_LOCANT_END = re.compile(r"-[a-zα-ω(\[]{3}")
 _ENTRY_SEP = re.compile(r"[;|/,&\t\n\r\v\f\x85  ；，／｜]")
+_ENTRY_RUN = re.compile(r"[\s;|/,&\t\n\r\v\f\x85  ；，／｜]*")
 _ENTRY_START = re.compile(r"""[\s;|/,&]*["'“„‘«]?\s*[^\W\d_][\w*'′+\-]{0,23}\s*[=:]\s*\S""")
 _BLANKS = re.compile(r"\s*")
 _SPECIAL = re.compile("[" + re.escape("".join([*QUOTES, *BRACKETS])) + ";|/,&\\s、；，／｜]")
 
-Separator = Callable[[str, int], int]
 
-
-def label_separator(s: str, i: int) -> int:
-    """Length of the separator of a list of labels at ``i``; 0 if there is none.
-    A comma between locants of a chemical name separates nothing."""
-    m = _LABEL_SEP.match(s, i)
-    if not m or _LOCANT.match(s, i):
-        return 0
-    return m.end() - i
-
-
-def entry_separator(s: str, i: int) -> int:
-    """Length of the separator of a list of "symbol sign definition" entries.
-    A mark separates only if an entry, another mark or the end follows it, so
-    that commas and semicolons within a definition stay in it."""
-    if not _ENTRY_SEP.match(s, i):
-        return 0
-    j = i
-    while j < len(s) and (s[j].isspace() or _ENTRY_SEP.match(s, j)):
-        j += 1
-    return j - i if j == len(s) or _ENTRY_START.match(s, j) else 0
-
-
-def _quoted(s: str, i: int, sep: Separator) -> tuple[str, int] | None:
-    """Ordered alternatives: doubled marks read as one; else every mark may close."""
-    close = QUOTES[s[i]]
-    for doubling in ((True, False) if close == s[i] else (False,)):
-        out, j = [], i + 1
+class Field:
+    """One field's text and what its parse has found out so far: partners of brackets,
+    closes of quotes, ends of runs of separators. Each is worked out once for the
+    whole text, when it is first asked for, so a parse is linear in the text."""
+
+    def __init__(self, text: str, kind: str):
+        self.s = text
+        self.separator = {"label": self._label, "entry": self._entry}[kind]
+        self._partners: dict[int, int] | None = None
+        self._closes: dict[tuple[str, bool], list[int]] = {}
+        self._locants: set[int] | None = None
+        self._run = (0, 0, 0)
+
+    def _label(self, i: int) -> int:
+        """Length of the separator of a list of labels at ``i``; 0 if there is none.
+        A comma between locants of a chemical name separates nothing."""
+        m = _LABEL_SEP.match(self.s, i)
+        if not m or self.s[i] == "," and i in self.locant_commas():
+            return 0
+        return m.end() - i
+
+    def _entry(self, i: int) -> int:
+        """Length of the separator of a list of "symbol sign definition" entries.
+        A mark separates only if an entry, another mark or the end follows it, so
+        that commas and semicolons within a definition stay in it."""
+        if not _ENTRY_SEP.match(self.s, i):
+            return 0
+        begin, end, ok = self._run
+        if not begin <= i < end:  # all marks of a run end with it
+            end = _ENTRY_RUN.match(self.s, i).end()
+            ok = end == len(self.s) or bool(_ENTRY_START.match(self.s, end))
+            self._run = (i, end, ok)
+        return end - i if ok else 0
+
+    def locant_commas(self) -> set[int]:
+        if self._locants is None:
+            out: set[int] = set()
+            for run in _LOCANT_RUN.finditer(self.s):
+                if "," not in run[0] or not _LOCANT_END.match(self.s, run.end()):
+                    continue
+                at = run.end()
+                for part in reversed(run[0].split(",")):
+                    comma = at - len(part) - 1
+                    if comma < run.start() or not _LOCANT.fullmatch(part):
+                        break
+                    if comma > 0 and (self.s[comma - 1].isdigit() or self.s[comma - 1] in "N'′"):
+                        out.add(comma)
+                    at = comma
+            self._locants = out
+        return self._locants
+
+    def bracketed(self, i: int) -> int:
+        """End of the balanced bracket that opens at ``i``; -1 if it has no partner. From the
+        right, each bracket steps over those inside it, which are known by then."""
+        if self._partners is None:
+            marks = [j for j, c in enumerate(self.s) if c in BRACKETS or c in _CLOSING]
+            place = {j: k for k, j in enumerate(marks)}
+            self._partners = {}
+            for k in range(len(marks) - 1, -1, -1):
+                c = self.s[marks[k]]
+                if c not in BRACKETS:
+                    continue
+                n, found = k + 1, -1
+                while n < len(marks):
+                    j = marks[n]
+                    if self.s[j] in BRACKETS:
+                        if (e := self._partners[j]) < 0:
+                            break
+                        n = place[e - 1] + 1
+                    elif self.s[j] == BRACKETS[c]:
+                        found = j + 1
+                        break
+                    else:
+                        n += 1
+                self._partners[marks[k]] = found
+        return self._partners[i]
+
+    def _ends(self, j: int) -> bool:
+        """Whether a separator or the end follows ``j``, blanks aside."""
+        k = _BLANKS.match(self.s, j).end()
+        return k == len(self.s) or any(self.separator(x) for x in range(j, k + 1))
+
+    def close_of(self, j: int, mark: str, doubling: bool) -> int:
+        """The first ``mark`` from ``j`` on that may close a quote; -1 if there is none.
+        With ``doubling``, two marks in a row are one that closes nothing."""
+        table = self._closes.get((mark, doubling))
+        if table is None:
+            s = self.s
+            table = [-1] * (len(s) + 2)
+            for i in range(len(s) - 1, -1, -1):
+                if s[i] != mark:
+                    table[i] = table[i + 1]
+                elif doubling and s.startswith(mark, i + 1):
+                    table[i] = table[i + 2]
+                else:
+                    table[i] = i if self._ends(i + 1) else table[i + 1]
+            self._closes[mark, doubling] = table
+        return table[j]
+
+    def quoted(self, i: int) -> tuple[str, int] | None:
+        """Ordered alternatives: doubled marks read as one; else every mark may close."""
+        close = QUOTES[self.s[i]]
+        for doubling in ((True, False) if close == self.s[i] else (False,)):
+            j = self.close_of(i + 1, close, doubling)
+            if j >= 0:
+                inner = self.s[i + 1 : j]
+                return (inner.replace(close * 2, close) if doubling else inner), j + 1
+        return None
+
+    def bare(self, i: int) -> tuple[str, int, str | None]:
+        s, j, flag, balanced = self.s, i, None, True
         while j < len(s):
-            if s[j] != close:
-                out.append(s[j])
-                j += 1
-            elif doubling and s.startswith(close, j + 1):
-                out.append(close)
-                j += 2
-            else:
-                k = _BLANKS.match(s, j + 1).end()
-                if k == len(s) or any(sep(s, x) for x in range(j + 1, k + 1)):
-                    return "".join(out), j + 1
-                out.append(s[j])
-                j += 1
-    return None
-
-
-def _bracketed(s: str, i: int) -> int:
-    """End of the balanced bracket that opens at ``i``; -1 if it has no partner."""
-    stack = [BRACKETS[s[i]]]
-    for j in range(i + 1, len(s)):
-        if s[j] == stack[-1]:
-            stack.pop()
-            if not stack:
-                return j + 1
-        elif s[j] in BRACKETS:
-            stack.append(BRACKETS[s[j]])
-    return -1
-
-
-def _bare(s: str, i: int, sep: Separator) -> tuple[str, int, str | None]:
-    j, flag, balanced = i, None, True
-    while j < len(s):
-        m = _SPECIAL.search(s, j)
-        if not m:
-            j = len(s)
-            break
-        j = m.start()
-        if s[j] in BRACKETS and balanced:
-            k = _bracketed(s, j)
-            if k > 0:
-                j = k
-                continue
-            flag, balanced = "unbalanced_bracket", False
-        elif sep(s, j):
-            break
-        j += 1
-    return s[i:j], j, flag
-
-
-def parse_packed(s: str, sep: Separator) -> list[tuple[str, str | None]]:
-    """(value, error flag) of every value of one field, blank pieces dropped."""
+            m = _SPECIAL.search(s, j)
+            if not m:
+                j = len(s)
+                break
+            j = m.start()
+            if s[j] in BRACKETS and balanced:
+                k = self.bracketed(j)
+                if k > 0:
+                    j = k
+                    continue
+                flag, balanced = "unbalanced_bracket", False
+            elif self.separator(j):
+                break
+            j += 1
+        return s[i:j], j, flag
+
+
+_CLOSING = frozenset(BRACKETS.values())
+
+
+def parse_packed(s: str, kind: str) -> list[tuple[str, str | None]]:
+    """(value, error flag) of every value of one field of a ``kind`` ('label' or
+    'entry'), blank pieces dropped."""
+    f = Field(s, kind)
     out: list[tuple[str, str | None]] = []
     i = 0
     while i < len(s):
-        i = _BLANKS.match(s, i).end() if not sep(s, i) else i
-        if i < len(s) and (n := sep(s, i)):
+        i = _BLANKS.match(s, i).end() if not f.separator(i) else i
+        if i < len(s) and (n := f.separator(i)):
             i += n
             continue
         if i >= len(s):
             break
         flag = None
         if s[i] in QUOTES:
-            if (q := _quoted(s, i, sep)) is not None:
+            if (q := f.quoted(i)) is not None:
                 value, i = q
                 if value.strip():
                     out.append((value.strip(), None))
-                i = _BLANKS.match(s, i).end() if not sep(s, i) else i
+                i = _BLANKS.match(s, i).end() if i < len(s) and not f.separator(i) else i
                 continue
             flag = "malformed_quote"
-        value, j, bad = _bare(s, i, sep)
+        value, j, bad = f.bare(i)
         i = max(j, i + 1)
         if value.strip():
             out.append((value.strip(), flag or bad))
@@ -143,8 +201,6 @@ def parse_packed(s: str, sep: Separator) -> list[tuple[str, str | None]]:
 
 def split_column(col: Column, kind: str) -> Column:
     """array<struct<value,flag>> of a packed column; ``kind`` is 'label' or 'entry'."""
-    sep = {"label": label_separator, "entry": entry_separator}[kind]
-
     @F.pandas_udf("array<struct<value:string,flag:string>>")
     def parse(texts: pd.Series) -> pd.Series:
         memo: dict[str, list[dict]] = {}
@@ -154,7 +210,7 @@ def split_column(col: Column, kind: str) -> Column:
                 out.append(None)
                 continue
             if t not in memo:
-                memo[t] = [{"value": v, "flag": f} for v, f in parse_packed(t, sep)]
+                memo[t] = [{"value": v, "flag": f} for v, f in parse_packed(t, kind)]
             out.append(memo[t])
         return pd.Series(out, dtype=object)
 
@@ -171,7 +227,7 @@ def unpack(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
     Null, empty, blank fields and fields of separators only give no rows.
     Repeated rows of the input are split each on its own; order of rows, ties
     and further columns of the input have no influence. An empty table gives an
-    empty result. Length is unlimited: the work is linear but for nested quotes.
+    empty result. Length is unlimited: the work is linear in it.
     """
     parts = None
     for name, kind in fields.items():

@@ -2,15 +2,15 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lodestack.operators.packed import entry_separator, label_separator, parse_packed, unpack
+from lodestack.operators.packed import parse_packed, unpack
 
 
 def labels(s):
-    return [v for v, _ in parse_packed(s, label_separator)]
+    return [v for v, _ in parse_packed(s, "label")]
 
 
 def entries(s):
-    return [v for v, _ in parse_packed(s, entry_separator)]
+    return [v for v, _ in parse_packed(s, "entry")]
 
 
 @pytest.mark.parametrize(
@@ -45,10 +45,10 @@ def test_entries(text, want):
 
 
 def test_malformed_marks_backtrack():
-    assert parse_packed('"1a, 1b', label_separator) == [('"1a', "malformed_quote"), ("1b", None)]
-    assert parse_packed("(1a, 1b", label_separator) == [("(1a", "unbalanced_bracket"), ("1b", None)]
+    assert parse_packed('"1a, 1b', "label") == [('"1a', "malformed_quote"), ("1b", None)]
+    assert parse_packed("(1a, 1b", "label") == [("(1a", "unbalanced_bracket"), ("1b", None)]
     long = '"' + "x" * 50_000 + ", y"
-    assert [v for v, _ in parse_packed(long, label_separator)] == ['"' + "x" * 50_000, "y"]
+    assert [v for v, _ in parse_packed(long, "label")] == ['"' + "x" * 50_000, "y"]
 
 
 @given(st.lists(st.text("ab1'\"(,; ", min_size=1).map(str.strip).filter(bool), min_size=1, max_size=6))
@@ -63,3 +63,13 @@ def test_unpack_edges(spark):
     out = unpack(df, "id", {"lab": "label", "glo": "entry"})
     assert sorted(tuple(r)[:4] for r in out.collect()) == [(1, "lab", 1, "1a"), (1, "lab", 1, "1a"), (1, "lab", 2, "1b"), (1, "lab", 2, "1b"), (3, "glo", 1, "A = b")]
     assert unpack(df.limit(0), "id", {"lab": "label"}).count() == 0
+
+
+def test_parse_is_linear_in_the_text():
+    import time
+
+    for text in ("(a;", "; ", '"a; ', "1,", "[(]", "a = b; ", "'; ", '""'):
+        for kind in ("label", "entry"):
+            began = time.time()
+            parse_packed(text * 16_000, kind)
+            assert time.time() - began < 5, (text, kind)
