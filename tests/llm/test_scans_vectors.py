@@ -51,7 +51,7 @@ def test_without_vectors_they_are_lost(spark, monkeypatch):
     assert share["own"] == 0 and share["misread"] == 1
     # and of two corrections the same is taken in every context
     fixer = scans.Repairer({"fa1l": ["fall", "fail"]}, frozenset(), frozenset(), frozenset(), None)
-    assert {fixer.repair(t, False)[0].split()[0] for _, t, _, w in planted() if (t := f"fa1l {t}")} == {"fall"}
+    assert {fixer.repair(f"fa1l {t}", False)[0].split()[0] for _, t, _, _ in planted()} == {"fall"}
 
 
 @pytest.mark.parametrize("seed", range(5))
