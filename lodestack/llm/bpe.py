@@ -1,12 +1,13 @@
 """Encoding with a public byte-level BPE tokenizer (problem 8) by merge replay.
 
-Texts are cut into words by the tokenizer's pattern. All distinct new words of a
-task's share of the corpus are laid into one array of tokens with links between
-neighbours; an inverted index leads from each token pair to its positions over
-all words. The merges are applied in rank order: each takes its positions from
-the index, joins them, and files the pairs of the touched neighbours only. No
-word is looked at again that a merge doesn't touch, and a word is encoded once
-however often it occurs.
+Texts are cut into words by the tokenizer's pattern, and a task keeps its texts as
+numbers of words until HELD_WORDS are held or its share of the corpus ends. Then
+all distinct words that are new are laid into one array of tokens with links
+between neighbours; an inverted index leads from each token pair to its positions
+over all words. The merges are applied in rank order: each takes its positions
+from the index, joins them, and files the pairs of the touched neighbours only.
+No word is looked at again that a merge doesn't touch, and a word is encoded once
+a task however often it occurs; texts get their ids by a gather over the words'.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ from pyspark.sql import types as T
 
 # Fixed value: the word pattern of byte_bpe_50k.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Words of texts that a task holds at most as numbers (four bytes each) before it replays the merges.
+HELD_WORDS = 20_000_000
 #: A task forgets its words' ids beyond so many distinct ones, to bound memory; they are encoded again when they recur.
 MEMO_WORDS = 500_000
+#: Rows that are handed on at once.
+SLICE_ROWS = 2000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -108,26 +113,87 @@ def replay(words: list[str], byte_id: list[int], merges: dict[tuple[int, int], t
     return out
 
 
+class _Numbers(dict):
+    """Numbers words in the order they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
-    """Encodes batches of texts; keeps the ids of the words it has met."""
+    """Encodes texts; keeps the ids of the words it has met."""
 
     def __init__(self, byte_id: list[int], merges: dict, pattern: str = PATTERN):
         self.byte_id, self.merges, self.find = byte_id, merges, regex.compile(pattern).findall
-        self.memo: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number = _Numbers()
+        self.tokens, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def cut(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words of all texts, end of each text's); null and empty texts have none."""
+        number, find = self.number, self.find
+        words: list[int] = []
+        ends = []
+        for t in texts:
+            if t:
+                words += [number[w] for w in find(t)]
+            ends.append(len(words))
+        return np.array(words, np.int32), np.array(ends, np.int64)
+
+    def replay(self) -> None:
+        """Encode all words met since the last time, all merged together."""
+        done = len(self.start) - 1
+        new = list(self.number)[done:]
+        if new:
+            ids = replay(new, self.byte_id, self.merges)
+            size = np.array([len(x) for x in ids], np.int64)
+            self.tokens = np.r_[self.tokens, np.array([t for x in ids for t in x], np.int32)]
+            self.start = np.r_[self.start, self.start[-1] + np.cumsum(size)]
+
+    def sizes(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """How many ids the texts up to each end have."""
+        return np.r_[0, np.cumsum(np.diff(self.start)[words])][ends]
+
+    def ids(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, end of each text's ids)."""
+        size = np.diff(self.start)[words]
+        after = np.cumsum(size)
+        at = np.repeat(self.start[words] - (after - size), size) + np.arange(int(size.sum()))
+        return self.tokens[at], np.r_[0, after][ends]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, end of each text's ids); null and empty texts have none."""
-        cut = [self.find(t) if t else [] for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = list({w for ws in cut for w in ws if w not in self.memo})
-        self.memo.update(zip(new, replay(new, self.byte_id, self.merges), strict=True))
-        memo, flat, ends = self.memo, [], []
-        for ws in cut:
-            for w in ws:
-                flat += memo[w]
-            ends.append(len(flat))
-        return np.array(flat, np.int32), np.array(ends, np.int64)
+        held = self.cut(texts)
+        self.replay()
+        return self.ids(*held)
+
+    def through(self, batches: Iterator[pa.RecordBatch], column: int, make) -> Iterator[pa.RecordBatch]:
+        """``make(rows, words, ends)`` for slices of all batches, once their words are encoded."""
+        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            self.replay()
+            for rows, words, ends in held:
+                yield make(rows, words, ends)
+            held.clear()
+            if len(self.number) > MEMO_WORDS:
+                self._forget()
+
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                part = b.slice(at, SLICE_ROWS)
+                words, ends = self.cut(part.column(column).to_pylist())
+                # the other columns are copied, so that the text itself is not held
+                rows = part.select([i for i in range(b.num_columns) if i != column]).take(pa.array(np.arange(part.num_rows)))
+                held.append((rows, words, ends))
+                n += len(words)
+                if n > HELD_WORDS:
+                    yield from flush()
+                    n = 0
+        yield from flush()
 
 
 def encode_texts(df: DataFrame, id_col: str, text_col: str, vocab_path: str) -> DataFrame:
@@ -141,13 +207,13 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocab_path: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(*spec.value)
-        for b in batches:
-            # in slices, so that no list of a batch's ids grows large
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                flat, ends = enc.encode(part.column(1).to_pylist())
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
+
+        def make(rows: pa.RecordBatch, words: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            flat, after = enc.ids(words, ends)
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, after].astype(np.int32)), pa.array(flat, pa.int32()))
+            return pa.RecordBatch.from_arrays([rows.column(0), ids], names=[id_col, "ids"])
+
+        yield from enc.through(batches, 1, make)
 
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return df.select(id_col, text_col).mapInArrow(run, schema)
@@ -160,10 +226,10 @@ def count_tokens(df: DataFrame, columns: list[str], text_col: str, vocab_path: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(*spec.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                _, ends = enc.encode(part.column(len(columns)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(np.diff(np.r_[0, ends]))], names=[*columns, "n_tokens"])
+
+        def make(rows: pa.RecordBatch, words: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(np.r_[0, enc.sizes(words, ends)]))], names=[*columns, "n_tokens"])
+
+        yield from enc.through(batches, len(columns), make)
 
     return src.mapInArrow(run, T.StructType([*src.schema.fields[: len(columns)], T.StructField("n_tokens", T.LongType())]))
