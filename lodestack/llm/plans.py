@@ -60,8 +60,8 @@ def p5_mapped(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     written = table(spark, d, "reference_values").select("vocab", F.col("entry").alias("value")).distinct()
-    # the reference list has been checked to be small by the mapping
-    free = _p5(spark, d).join(F.broadcast(written), ["vocab", "value"], "left_anti")
+    # an anti join that Spark broadcasts only if its side is small
+    free = _p5(spark, d).join(written, ["vocab", "value"], "left_anti")
     return free.select("dim_row_id", "field_name", "pos", "entry_id")
 
 

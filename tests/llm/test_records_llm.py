@@ -53,11 +53,13 @@ REFERENCE = [tuple(r.values()) for r in pq.read_table(f"{SMALL}/reference_values
     ],
 )
 def test_vocabulary(kind, value, entry):
-    books = {}
-    for v in ("oxidation_state", "halide"):
-        _, alias, stop = vocab.READERS[v]
-        books[v] = vocab.Dictionary([(a, e) for e, k, name, full in REFERENCE if k == v for a in alias(name, full)], {}, stop)
-    assert vocab._find(books, kind, value)[0] == entry
+    assert vocab.find_value(vocab.make_books(REFERENCE, {}), kind, value)[0] == entry
+
+
+def test_entries_that_a_lexicon_cannot_read_keep_their_spellings():
+    odd = [(1, "oxidation_state", "n/a", None), (2, "halide", "pseudo halide", None), (3, "city", "Aachen", "Aix-la-Chapelle")]
+    books = vocab.make_books(odd, {})
+    assert [vocab.find_value(books, v, x)[0] for v, x in [("oxidation_state", "N/A"), ("halide", "pseudo-halide"), ("city", "aahcen"), ("city", "Aix la Chapelle"), ("city", "Bonn")]] == [1, 2, 3, 0, 0]
 
 
 def test_mapping_edges_and_join(spark, monkeypatch):
