@@ -109,7 +109,8 @@ def draw_copies(docs: DataFrame, rates: DataFrame, seed: int = 29) -> DataFrame:
     spark = docs.sparkSession
     h = F.xxhash64("doc_id", F.lit(seed))
     rate = F.coalesce("rate", F.lit(0.0))
-    rows = docs.join(F.broadcast(rates.where("rate > 0").select("source", "rate")), "source", "left").select(
+    # a row a source: Spark broadcasts it if it is small, else hot sources are split in the merge join
+    rows = docs.join(rates.where("rate > 0").select("source", "rate"), "source", "left").select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", "n_tokens", F.floor(rate).cast("int").alias("base"), (rate - F.floor(rate)).alias("p"), (F.pmod(h, F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("u"), h.alias("h")
     )
     rows = settle(rows, "mix")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle
 from ..sources import table
 from . import bpe, level, mixing, scans, splits, vocab
 from .copies import collapse_copies, copy_members
@@ -36,12 +37,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.broken_rule(_groups(spark, d), "compound_id", table(spark, d, "train_test_split"))
 
 
+def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    labels = table(spark, d, "compound_records").select("compound_id", F.col("sb_halide_dimensionality_llm").alias("label"))
+    return splits.assign_splits(_groups(spark, d), "compound_id", labels, table(spark, d, "split_targets")), labels
+
+
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     """A split for each compound."""
-    records = table(spark, d, "compound_records")
-    labels = records.select("compound_id", F.col("sb_halide_dimensionality_llm").alias("label"))
-    out = splits.assign_splits(_groups(spark, d), "compound_id", labels, table(spark, d, "split_targets"))
-    return out.select("compound_id", "split")
+    return _split(spark, d)[0].select("compound_id", "split")
+
+
+def p4_quota(spark: SparkSession, d: str) -> DataFrame:
+    """How far each split, and each label in it, is from its quota."""
+    assigned, labels = _split(spark, d)
+    out = splits.split_report(settle(assigned, "splits"), "compound_id", labels, table(spark, d, "split_targets"))
+    return out.select("split", "label", "n", "target_share", F.round("actual_share", 6).alias("actual_share"), F.round("deviation", 3).alias("deviation"))
 
 
 def _p5(spark: SparkSession, d: str) -> DataFrame:
@@ -79,6 +89,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p9_quota(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens that each source gives, what its rate asks for, and the most that rounding
+    may miss it by: one copy of its largest document."""
+    sized, report = _mix(spark, d)
+    most = sized.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    out = report.join(most, report["source"].eqNullSafe(most["source"])).select(report["source"], F.col("used_tokens"), (F.col("rate") * F.col("tokens")).alias("wanted"), F.coalesce("largest", F.lit(0)).alias("bound"))
+    return out.select("source", "used_tokens", F.round("wanted", 3).alias("wanted"), "bound", (F.abs(F.col("used_tokens") - F.col("wanted")) <= F.col("bound")).alias("kept"))
+
+
 def p9_copies(spark: SparkSession, d: str) -> DataFrame:
     """How often each document is used."""
     return _mix(spark, d)[0].select("doc_id", "source", "copies")
@@ -154,7 +173,7 @@ SELECT compound_id FROM s WHERE c IN (SELECT c FROM s GROUP BY c HAVING count(DI
 
 
 def queries() -> dict:
-    named = [p1_found, p1_repaired, p4_found, p4_splits, p5_found, p5_mapped, p6_found, p6_forms, p7_found, p7_collapsed, p8_ids, p9_shares, p9_copies, p10_found, p10_levels, p10_profile]
+    named = [p1_found, p1_repaired, p4_found, p4_splits, p4_quota, p5_found, p5_mapped, p6_found, p6_forms, p7_found, p7_collapsed, p8_ids, p9_shares, p9_quota, p9_copies, p10_found, p10_levels, p10_profile]
     return {f.__name__: f for f in named}
 
 

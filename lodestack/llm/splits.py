@@ -1,28 +1,36 @@
 """Splits that keep related records together (problem 4).
 
 Records that share a key form components. Components of the same size and label
-profile are one bundle; how many of a bundle go to each split is decided by
-min-cost flows with convex deviation costs, whose solutions are integral; which
-of them, by hash. Sizes that differ can't be many: k different sizes need at
-least k(k+1)/2 records, so N records make at most sqrt(2N) sizes, and the bundle
-table at most sqrt(2N) rows for each label, which is checked before it is
-collected.
+profile (how many records of each label) are one bundle. How many of a bundle go
+to each split is one min-cost flow over all bundles: each sends its components to
+the splits, and the cost is the squared deviation of the splits' records, and of
+each label's records, from their quotas. The proportional flow costs nothing but
+is not whole; it is rounded down, the rest is sent along the cheapest arcs, the
+largest components first, and then cycles of negative cost are cancelled until
+none is left: a component moves to another split, or two change places. Which of
+a bundle's components go where is decided by hash.
+
+Bundles are read on the driver in descending size, MAX_BUNDLES at a time; where
+there are more, the flow of a part goes on from the loads of the parts before.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..operators.graph import connected_components
+from ..operators.skew import hash_slice, join_unique, ranked
+from ..session import settle
 
-#: At most so many bundles are solved on the driver; labels are left out of the profile beyond it.
-MAX_BUNDLES = 2_000_000
-HASH_BUCKETS = 1024
+#: So many bundles are solved together.
+MAX_BUNDLES = 500_000
+#: Rounds of cycle cancelling at most; each lowers the cost, and few are needed.
+MAX_ROUNDS = 50
 #: Weight of the deviation of a label's own shares against that of the whole.
 LABEL_WEIGHT = 0.1
 
@@ -44,139 +52,173 @@ def find_groups(df: DataFrame, member: str, paper: str, names: str) -> DataFrame
     return connected_components(group_keys(df, member, paper, names), member, "key")
 
 
-def min_cost_units(supply: list[int], size: int, load: list[float], quota: list[float], own: list[list[float]], own_quota: list[list[float]]) -> list[list[int]]:
-    """Send ``supply[p]`` units of ``size`` records from each profile p to the splits
-    at least cost: the sum of squared deviations of the splits' loads from their
-    quotas, plus LABEL_WEIGHT times those of each profile's own loads. Successive
-    shortest paths, each unit with rerouting of earlier ones; the flow is integral.
-    ``load`` and ``own`` are updated.
-    """
-    n_s, n_p = len(quota), len(supply)
-    flow = [[0] * n_s for _ in range(n_p)]
-
-    def gain(p: int, s: int, sign: int) -> float:
-        d = sign * size
-        q = own[p][s] - own_quota[p][s]
-        return LABEL_WEIGHT * ((q + d) ** 2 - q**2)
-
-    for p0 in range(n_p):
-        left = supply[p0]
-        while left:
-            # shortest paths from profile p0 to the splits over residual arcs (Bellman-Ford on profiles and splits)
-            dist, back = [math.inf] * n_s, [None] * n_s
-            pd = [math.inf] * n_p
-            pback: list = [None] * n_p
-            pd[p0] = 0.0
-            for _ in range(n_p + n_s):
-                moved = False
-                for p in range(n_p):
-                    if pd[p] < math.inf:
-                        for s in range(n_s):
-                            if (c := pd[p] + gain(p, s, 1)) < dist[s] - 1e-9:
-                                dist[s], back[s], moved = c, p, True
-                for s in range(n_s):
-                    if dist[s] < math.inf:
-                        for p in range(n_p):
-                            if p != p0 and flow[p][s] > 0 and (c := dist[s] + gain(p, s, -1)) < pd[p] - 1e-9:
-                                pd[p], pback[p], moved = c, s, True
-                if not moved:
-                    break
-            s = min(range(n_s), key=lambda s: (dist[s] + (load[s] + size - quota[s]) ** 2 - (load[s] - quota[s]) ** 2, s))
-            load[s] += size
-            seen = 0
-            while True:
-                p = back[s]
-                flow[p][s] += 1
-                own[p][s] += size
-                seen += 1
-                if p == p0 or seen > n_p + n_s:
-                    break
-                s = pback[p]
-                flow[p][s] -= 1
-                own[p][s] -= size
-            left -= 1
-    return flow
-
-
-def allocate(bundles: list[tuple[int, str, int]], shares: list[tuple[str, float]]) -> dict[tuple[int, str], list[int]]:
-    """How many of the n components of each bundle (size, label, n) go to each split.
-
-    Whole parts of n*share go at once; what is left, fewer units than splits for
-    each bundle, flows at least cost, largest sizes first. Shares are scaled to sum
-    to 1. One component larger than every quota goes where it deviates least.
-    """
-    total = sum(s for _, s in shares) or 1.0
-    share = [s / total for _, s in shares]
-    labels = sorted({b[1] for b in bundles})
-    by_label = {x: sum(size * n for size, lab, n in bundles if lab == x) for x in labels}
-    quota = [w * sum(by_label.values()) for w in share]
-    own_quota = {x: [w * by_label[x] for w in share] for x in labels}
-    load, own = [0.0] * len(share), {x: [0.0] * len(share) for x in labels}
-    out: dict[tuple[int, str], list[int]] = {}
-    for size, lab, n in bundles:
-        whole = [math.floor(n * w + 1e-9) for w in share]
-        out[size, lab] = whole
-        for s, k in enumerate(whole):
-            load[s] += k * size
-            own[lab][s] += k * size
-    by_size: dict[int, list[tuple[str, int]]] = {}
-    for size, lab, n in bundles:
-        if rest := n - sum(out[size, lab]):
-            by_size.setdefault(size, []).append((lab, rest))
-    for size in sorted(by_size, reverse=True):
-        part = sorted(by_size[size])
-        flow = min_cost_units([r for _, r in part], size, load, quota, [own[x] for x, _ in part], [own_quota[x] for x, _ in part])
-        for (lab, _), f in zip(part, flow):
-            out[size, lab] = [a + b for a, b in zip(out[size, lab], f)]
-    return out
+class Flow:
+    """Loads of the splits, in all and by label, and the flow of bundles into them."""
+
+    def __init__(self, shares: list[float], total: float, by_label: dict[str, float]):
+        self.share = np.array(shares) / (sum(shares) or 1.0)
+        self.labels = {x: i for i, x in enumerate(sorted(by_label))}
+        # row 0 is all records, the others are labels; a deviation of a label counts LABEL_WEIGHT
+        amount = np.array([total, *[by_label[x] for x in sorted(by_label)]], float)
+        self.over = -np.outer(amount, self.share)  # load less quota
+        self.weight = np.array([1.0, *[LABEL_WEIGHT] * len(by_label)])
+
+    def vector(self, size: int, profile: str) -> np.ndarray:
+        """What one component of a bundle adds to each row."""
+        v = np.zeros(len(self.weight))
+        v[0] = size
+        for part in profile.split(";") if profile else []:
+            label, n = part.rsplit("=", 1)
+            v[1 + self.labels[label]] = float(n)
+        return v
+
+    def cost(self) -> float:
+        return float(self.weight @ (self.over**2).sum(1))
+
+    def solve(self, bundles: list[tuple[int, str, int]]) -> np.ndarray:
+        """Components of each bundle to each split."""
+        v = np.array([self.vector(size, profile) for size, profile, _ in bundles]).reshape(len(bundles), len(self.weight))
+        n = np.array([b[2] for b in bundles], np.int64)
+        flow = np.floor(np.outer(n, self.share) + 1e-9).astype(np.int64)
+        self.over += v.T @ flow
+        for i in np.argsort(-v[:, 0], kind="stable"):
+            for _ in range(int(n[i] - flow[i].sum())):
+                gain = self.weight @ (2 * self.over * v[i][:, None] + (v[i] ** 2)[:, None])
+                s = int(np.argmin(np.round(gain, 6)))
+                flow[i, s] += 1
+                self.over[:, s] += v[i]
+        for _ in range(MAX_ROUNDS):
+            if not self._cancel(v, flow):
+                break
+        return flow
+
+    def _cancel(self, v: np.ndarray, flow: np.ndarray) -> bool:
+        """One pass over all cycles of two arcs, and of four between a bundle and the
+        best partner of each pair of splits; whether any lowered the cost."""
+        moved, k = False, len(self.share)
+        for s in range(k):
+            for t in range(k):
+                if s == t:
+                    continue
+                # moving one component from s to t changes the cost by w.(2 (over_t - over_s) v + 2 v^2)
+                while True:
+                    d = self.weight * (self.over[:, t] - self.over[:, s])
+                    change = 2 * (v @ d) + 2 * (v**2 @ self.weight)
+                    change = np.where(flow[:, s] > 0, change, np.inf)
+                    i = int(np.argmin(change)) if len(change) else -1
+                    if i < 0 or change[i] >= -1e-6:
+                        break
+                    self._shift(v, flow, i, s, t)
+                    moved = True
+                if s < t and len(v):
+                    # two components change places: the difference of their vectors moves
+                    d = self.weight * (self.over[:, t] - self.over[:, s])
+                    there = np.where(flow[:, s] > 0, 2 * (v @ d), np.inf)
+                    back = np.where(flow[:, t] > 0, -2 * (v @ d), np.inf)
+                    for i in np.argsort(there)[:64]:
+                        if not np.isfinite(there[i]):
+                            break
+                        both = there[i] + back + 2 * ((v[i] - v) ** 2 @ self.weight)
+                        j = int(np.argmin(both))
+                        if both[j] < -1e-6:
+                            self._shift(v, flow, int(i), s, t)
+                            self._shift(v, flow, j, t, s)
+                            moved = True
+                            break
+        return moved
+
+    def _shift(self, v: np.ndarray, flow: np.ndarray, i: int, s: int, t: int) -> None:
+        flow[i, s] -= 1
+        flow[i, t] += 1
+        self.over[:, s] -= v[i]
+        self.over[:, t] += v[i]
+
+
+def allocate(bundles: Iterable[tuple[int, str, int]], shares: list[tuple[str, float]]) -> dict[tuple[int, str], list[int]]:
+    """How many of the n components of each bundle (size, profile, n) go to each split.
+    A profile is 'label=records' parts joined by ';', or empty."""
+    rows = sorted(bundles, key=lambda b: (-b[0], b[1]))
+    flow = Flow([w for _, w in shares], sum(b[0] * b[2] for b in rows), _label_totals(rows))
+    out = flow.solve(rows)
+    return {(b[0], b[1]): x.tolist() for b, x in zip(rows, out)}
+
+
+def _label_totals(rows: Iterable[tuple[int, str, int]]) -> dict[str, float]:
+    total: dict[str, float] = {}
+    for _, profile, n in rows:
+        for part in profile.split(";") if profile else []:
+            label, k = part.rsplit("=", 1)
+            total[label] = total.get(label, 0.0) + n * float(k)
+    return total
 
 
 def assign_splits(groups: DataFrame, member: str, labels: DataFrame | None, targets: DataFrame, seed: int = 17) -> DataFrame:
     """member, component, split for ``groups`` (member, component).
 
-    ``labels`` (member, label) gives each component its most frequent label as
-    profile (ties: the smaller). ``targets`` (split, target_share) may hold any
-    number of splits; null or negative shares count as 0. The result depends on
-    ids and seed only, not on the order or partitioning of rows. No members give
-    no rows; no targets give a null split.
+    ``labels`` (member, label) may hold several labels of a member; a component's
+    profile counts its members of each label, and null labels have no part in it.
+    ``targets`` (split, target_share) may hold any number of splits; null or negative
+    shares count as 0. The result depends on ids and seed only, not on the order or
+    partitioning of rows. No members give no rows; no targets give a null split.
     """
     spark = groups.sparkSession
     g = groups.select(member, "component").distinct()
     comps = g.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     if labels is not None:
-        votes = g.join(labels.select(member, "label").where("label is not null").distinct(), member).groupBy("component", "label").agg(F.count(F.lit(1)).alias("v"))
-        top = votes.groupBy("component").agg(F.min(F.struct((-F.col("v")).alias("v"), "label")).alias("t")).select("component", F.col("t.label").alias("label"))
-        comps = comps.join(top.hint("merge"), "component", "left")
+        # ';' and '=' part the profile
+        clean = F.regexp_replace(F.col("label").cast("string"), "[;=]", "_")
+        votes = join_unique(labels.select(member, clean.alias("label")).where("label is not null").distinct(), g, member, "inner")
+        votes = votes.groupBy("component", "label").agg(F.count(F.lit(1)).alias("v"))
+        part = F.concat("label", F.lit("="), F.col("v").cast("string"))
+        comps = join_unique(comps, votes.groupBy("component").agg(F.array_join(F.array_sort(F.collect_list(part)), ";").alias("profile")), "component")
     else:
-        comps = comps.withColumn("label", F.lit(None).cast("string"))
-    comps = comps.withColumn("label", F.coalesce("label", F.lit("")))
-    bundled = comps.groupBy("size", "label").agg(F.count(F.lit(1)).alias("n"))
-    if bundled.count() > MAX_BUNDLES:
-        comps = comps.withColumn("label", F.lit(""))
-        bundled = comps.groupBy("size", "label").agg(F.count(F.lit(1)).alias("n"))
+        comps = comps.withColumn("profile", F.lit(None).cast("string"))
+    comps = settle(comps.withColumn("profile", F.coalesce("profile", F.lit(""))), "components")
+    bundled = settle(comps.groupBy("size", "profile").agg(F.count(F.lit(1)).alias("n")), "bundles")
     shares = [(r["split"], max(0.0, r["target_share"] or 0.0)) for r in targets.orderBy("split").collect()]
     if not shares:
         return g.withColumn("split", F.lit(None).cast("string"))
-    plan = allocate([tuple(r) for r in bundled.orderBy("size", "label").collect()], shares)
-    rows = []
-    for (size, label), counts in plan.items():
-        lo = 0
-        for (split, _), k in zip(shares, counts):
-            if k:
-                rows.append((size, label, lo, lo + k, split))
-                lo += k
-    schema = T.StructType.fromDDL("size long, label string, lo long, hi long, split string")
-    quota = spark.createDataFrame(rows, schema)
-    # rank of each component within its bundle by hash, in two steps so that no bundle is sorted in one task
-    h = F.xxhash64("component", F.lit(seed))
-    comps = comps.withColumn("h", h).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(HASH_BUCKETS)).cast("int"))
-    per = comps.groupBy("size", "label", "bucket").agg(F.count(F.lit(1)).alias("c"))
-    offsets = per.withColumn("before", F.sum("c").over(Window.partitionBy("size", "label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = offsets.select("size", "label", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("size", "label", "bucket").orderBy("h", "component")) - 1
-    ranked = comps.join(offsets, ["size", "label", "bucket"]).withColumn("rank", F.col("before") + rank)
-    placed = ranked.join(quota, ["size", "label"]).where("rank >= lo and rank < hi").select("component", "split")
-    return g.join(placed.hint("merge"), "component", "left").select(member, "component", "split")
+    # totals of the labels: as many rows as there are labels
+    each = bundled.where("profile <> ''").select("n", F.explode(F.split("profile", ";")).alias("p"))
+    totals = each.groupBy(F.substring_index("p", "=", 1).alias("label")).agg(F.sum(F.col("n") * F.substring_index("p", "=", -1).cast("double")).alias("total")).collect()
+    size = bundled.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0))).first()[0]
+    flow = Flow([w for _, w in shares], float(size), {r["label"]: r["total"] for r in totals})
+    quota = None
+    part: list[tuple[int, str, int]] = []
+    schema = T.StructType.fromDDL("size long, profile string, lo long, hi long, split string")
+
+    def solved(part: list[tuple[int, str, int]]) -> DataFrame:
+        rows = []
+        for (size, profile, _), counts in zip(part, flow.solve(part)):
+            lo = 0
+            for (split, _), k in zip(shares, counts.tolist()):
+                if k:
+                    rows.append((size, profile, lo, lo + k, split))
+                    lo += k
+        return settle(spark.createDataFrame(rows, schema), "quota")
+
+    for r in bundled.orderBy(F.desc("size"), "profile").toLocalIterator():
+        part.append(tuple(r))
+        if len(part) == MAX_BUNDLES:
+            quota = solved(part) if quota is None else quota.unionByName(solved(part))
+            part = []
+    if part or quota is None:
+        quota = solved(part) if quota is None else quota.unionByName(solved(part))
+    key = F.concat(F.col("component").cast("string"), F.lit(f"#{seed}"))
+    placed = ranked(comps, ["size", "profile"], [F.md5(key), F.col("component")], hash_slice(key), "rank")
+    placed = placed.join(quota, ["size", "profile"]).where("rank > lo and rank <= hi").select("component", "split")
+    return join_unique(g, placed, "component").select(member, "component", "split")
+
+
+def split_report(assigned: DataFrame, member: str, labels: DataFrame, targets: DataFrame) -> DataFrame:
+    """split, label ('*': all), n, target_share, actual_share, deviation (records over the quota)."""
+    rows = assigned.select(member, "split").where("split is not null")
+    each = rows.join(labels.select(member, F.col("label").cast("string").alias("label")).where("label is not null").distinct(), member)
+    n = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).select("split", F.lit("*").alias("label"), "n").unionByName(each.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")))
+    total = n.groupBy("label").agg(F.sum("n").alias("all"))
+    grid = total.join(targets.select("split", "target_share"))
+    out = grid.join(n, ["split", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.select("split", "label", "n", "target_share", (F.col("n") / F.col("all")).alias("actual_share"), (F.col("n") - F.col("target_share") * F.col("all")).alias("deviation"))
 
 
 def broken_rule(groups: DataFrame, member: str, assigned: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -111,6 +112,34 @@ def test_a_giant_group_goes_where_it_fits():
     assert sum(plan[1, ""]) == 30
 
 
+def test_flow_is_near_the_best_whole_one():
+    rng = random.Random(2)
+    for _ in range(20):
+        rows = {(size, f"0D={size - k};1D={k}" if k else f"0D={size}"): rng.randrange(1, 4) for size in (1, 2, 3) for k in range(size + 1) if rng.random() < 0.4}
+        bundles = [(s, p, n) for (s, p), n in rows.items()]
+        total, by = sum(s * n for s, _, n in bundles), splits._label_totals(bundles)
+        shares = [("a", 0.7), ("b", 0.3)]
+
+        def cost(plan):
+            f = splits.Flow([0.7, 0.3], total, by)
+            for (s, p), x in plan.items():
+                f.over += np.outer(f.vector(s, p), x)
+            return f.cost()
+
+        best = min(cost({(s, p): [x, n - x] for (s, p, n), x in zip(bundles, pick)}) for pick in itertools.product(*[range(n + 1) for _, _, n in bundles])) if bundles else 0
+        assert cost(splits.allocate(bundles, shares)) <= best + 1.0
+
+
+def test_parts_of_bundles_go_on_from_each_other(spark, monkeypatch):
+    groups = spark.createDataFrame([(f"c{g}_{i}", f"g{g:03d}") for g in range(200) for i in range(g % 7 + 1)], "compound_id string, component string")
+    labels = groups.selectExpr("compound_id", "cast(crc32(compound_id) % 3 as string) as label")
+    targets = spark.createDataFrame([("train", 0.8), ("test", 0.2)], "split string, target_share double")
+    monkeypatch.setattr(splits, "MAX_BUNDLES", 5)
+    got = splits.assign_splits(groups, "compound_id", labels, targets)
+    report = {(r["split"], r["label"]): r["deviation"] for r in splits.split_report(got, "compound_id", labels, targets).collect()}
+    assert got.where("split is null").count() == 0 and abs(report["train", "*"]) <= 2 and all(abs(x) <= 12 for x in report.values())
+
+
 # --- problem 9
 
 
