@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.orphans import OrphanState, parent_rows, reference_rows
+from ..operators.orphans import OrphanStore, parent_rows, reference_rows
 
 
 def intake(spark: SparkSession, folder: str, schema: T.StructType, key: str, sink: str, checkpoint: str):
@@ -28,15 +28,17 @@ def intake(spark: SparkSession, folder: str, schema: T.StructType, key: str, sin
 
 
 class OrphanStream:
-    """Applies micro-batches of parents and references, told apart by ``kind``, to the orphan state."""
+    """Applies micro-batches of parents and references, told apart by ``kind``, to an
+    orphan state in a folder; use ``take`` with foreachBatch. A batch that is replayed
+    after a failure is known by its number, and a new stream on the same folder goes on."""
 
-    def __init__(self, snapshot: Callable[[DataFrame], None] | None = None):
-        self.state, self.snapshot = OrphanState(), snapshot
+    def __init__(self, spark: SparkSession, root: str, snapshot: Callable[[DataFrame], None] | None = None, parts: int = 64):
+        self.store, self.snapshot = OrphanStore(spark, root, parts), snapshot
 
-    def take(self, batch: DataFrame, _: int = 0) -> None:
+    def take(self, batch: DataFrame, number: int) -> None:
         """A batch has kind ('parent' or 'reference'), key, id, at (timestamp), deleted."""
         p = parent_rows(batch.where("kind = 'parent'"), "key", "key", "at", "id", "deleted")
         r = reference_rows(batch.where("kind = 'reference'"), "reference", "id", "key", "key", "at")
-        self.state = self.state.apply(r, p)
+        self.store.apply(r, p, number)
         if self.snapshot:
-            self.snapshot(self.state.counts())
+            self.snapshot(self.store.counts())

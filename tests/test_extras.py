@@ -68,10 +68,11 @@ def test_streams(spark, tmp_path):
         (src / f"{i}.json").write_text("\n".join(json.dumps({"k": k, "n": i}) for k in ("a", "b", f"c{i}")))
         intake(spark, str(src), schema, "k", sink, str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["k"] for r in spark.read.parquet(sink).collect()) == ["a", "b", "c0", "c1"]
-    stream, seen = OrphanStream(lambda d: seen.append(sum(r["n"] for r in d.collect()))), []
+    seen = []
+    stream = OrphanStream(spark, str(tmp_path / "state"), lambda d: seen.append(sum(r["n"] for r in d.collect())), parts=4)
     at = datetime(2024, 1, 1)
     cols = "kind string, key string, id long, at timestamp, deleted boolean"
-    stream.take(spark.createDataFrame([("reference", "p", 1, at, None)], cols))
-    stream.take(spark.createDataFrame([("parent", "P", 1, at, False)], cols))
-    stream.take(spark.createDataFrame([("parent", "p", 2, datetime(2024, 2, 1), True)], cols))
+    stream.take(spark.createDataFrame([("reference", "p", 1, at, None)], cols), 0)
+    stream.take(spark.createDataFrame([("parent", "P", 1, at, False)], cols), 1)
+    stream.take(spark.createDataFrame([("parent", "p", 2, datetime(2024, 2, 1), True)], cols), 2)
     assert seen == [1, 0, 1]
