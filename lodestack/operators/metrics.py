@@ -40,8 +40,11 @@ def threshold_sweep(df: DataFrame, truth: str, score: str, steps: int = 181, lo:
     falls in; running sums over those few intervals give all confusion counts.
     """
     t = [round(lo + (hi - lo) * i / (steps - 1), 6) for i in range(steps)]
-    # how many thresholds the score reaches
-    reach = F.size(F.filter(F.array(*[F.lit(x) for x in t]), lambda x: F.col(score) >= x))
+    # how many thresholds the score reaches: by arithmetic, put right by the thresholds on both sides
+    grid_of = F.array(F.lit(float("-inf")), *[F.lit(x) for x in t], F.lit(float("inf")))
+    near = F.greatest(F.lit(0), F.least(F.lit(steps), F.floor((F.col(score) - lo) / ((hi - lo) / (steps - 1))).cast("int") + 1))
+    reach = F.when(F.col(score) < F.get(grid_of, near), near - 1).when(F.col(score) >= F.get(grid_of, near + 1), near + 1).otherwise(near)
+    reach = F.when(F.isnan(score), steps).otherwise(F.coalesce(reach, F.lit(0)))
     hist = df.groupBy(reach.alias("k")).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.sum((1 - F.col(truth)).cast("long")).alias("neg"))
     grid = df.sparkSession.createDataFrame([(i, t[i - 1] if i else None) for i in range(steps + 1)], "k int, threshold double")
     w = Window.orderBy("k")
@@ -62,3 +65,19 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def remaining(plan: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Planned work that is not done yet."""
     return plan.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def class_probability(tokens: Column) -> Column:
+    """struct(prediction, p_zero, p_one, mass, error) of array<struct<token,logprob>>:
+    probabilities of the class tokens '0' and '1', blanks around a token aside, summed
+    over its spellings and conditional on either. A class without token gets the least
+    log-probability of all; without both, the error says so and the rest is null. At
+    equal probability class 1 is predicted."""
+    of = lambda c: F.filter(tokens, lambda x: F.trim(x["token"]) == c)
+    floor = F.exp(F.array_min(F.transform(tokens, lambda x: x["logprob"])))
+    raw = lambda c: F.when(F.size(of(c)) > 0, F.aggregate(of(c), F.lit(0.0), lambda a, x: a + F.exp(x["logprob"]))).otherwise(floor)
+    ok = (F.size(of("0")) > 0) | (F.size(of("1")) > 0)
+    zero, one = raw("0"), raw("1")
+    return F.struct(
+        F.when(ok, (one >= zero).cast("int")).alias("prediction"), F.when(ok, zero / (zero + one)).alias("p_zero"), F.when(ok, one / (zero + one)).alias("p_one"), F.when(ok, zero + one).alias("mass"), F.when(ok, F.lit(None)).otherwise("no class token").alias("error")
+    )

@@ -111,3 +111,21 @@ def bootstrap_tau(classes: DataFrame, model: str, replicates: int, seed: int) ->
 
     kind = classes.schema[model].dataType.simpleString()
     return classes.groupBy(model).applyInPandas(run, f"{model} {kind}, mean_tau double, ci_lower double, ci_upper double, n_trials long")
+
+
+def check_rankings(df: DataFrame, model: str, trial: str, item: str, rank: str, k: str, borda: str) -> DataFrame:
+    """rule, n: keys (model, trial, item) that repeat, trials that don't hold ``k``
+    different items, rows whose score isn't (k - rank) / (k - 1)."""
+    wrong = (F.abs(F.col(borda) - (F.col(k) - F.col(rank)) / (F.col(k) - 1)) > 1e-8).cast("int")
+    by_key = df.groupBy(model, trial, item).agg(F.count(F.lit(1)).alias("__n"), F.sum(wrong).alias("__w"), F.max(k).alias("__k"))
+    by_trial = by_key.groupBy(model, trial).agg(F.count_if(F.col("__n") > 1).alias("a"), (F.count(F.lit(1)) != F.max("__k")).cast("int").alias("b"), F.sum("__w").alias("c"))
+    total = by_trial.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "abc"])
+    return total.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(c).alias("n")) for r, c in (("repeated_key", "a"), ("missing_item", "b"), ("score", "c"))])).alias("x")).select("x.rule", "x.n")
+
+
+def select_valid(records: DataFrame, wanted: DataFrame, keys: list[str], valid, ranking: str) -> DataFrame:
+    """``keys``, n, verdict for each wanted key: 'ok' with exactly one valid record,
+    'missing', 'repeated' (several that agree) or 'conflicting'."""
+    g = records.where(valid).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(ranking).alias("__a"), F.max(ranking).alias("__b"))
+    out = wanted.join(g, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.select(*keys, "n", F.when(F.col("n") == 0, "missing").when(F.col("n") == 1, "ok").when(F.col("__a") == F.col("__b"), "repeated").otherwise("conflicting").alias("verdict"))

@@ -245,15 +245,61 @@ def usage_cost(s: SparkSession, d: str) -> DataFrame:
 
 
 def conditional_prob(s: SparkSession, d: str) -> DataFrame:
-    """Probability of a class given two log-probabilities, a missing one floored."""
-    l1, l0 = -F.col("l_discount") * 10, F.when(F.col("l_tax") > 0.01, -F.col("l_tax") * 20)
-    floor = F.least(l1, F.coalesce(l0, F.lit(-8.0)))
-    p = F.exp(l1) / (F.exp(l1) + F.exp(F.coalesce(l0, floor)))
-    li = table(s, d, "lineitem").select("l_linenumber", p.alias("p"))
-    return li.groupBy("l_linenumber").agg(F.round(F.avg("p"), 6).alias("p"), F.sum((F.col("p") >= 0.5).cast("long")).alias("n_one"))
+    """Probability of the classes '0' and '1' given the log-probabilities of the tokens
+    at the answer; the answer's own beside those of the alternatives."""
+    tok = lambda t, p, when=None: F.struct(F.lit(t).alias("token"), p.alias("logprob")) if when is None else F.when(when, F.struct(F.lit(t).alias("token"), p.alias("logprob")))
+    p1, p0 = -F.col("l_discount") * 10, -F.col("l_tax") * 20
+    tokens = F.filter(F.array(tok("1", p1, F.col("l_linenumber") != 7), tok(" 1", p1 - 1.5), tok("0", p0, F.col("l_tax") > 0.01), tok("x", p0 - 3.0), tok("0 ", p0 - 2.0, F.col("l_linenumber") == 2)), lambda x: x.isNotNull())
+    c = M.class_probability(tokens)
+    li = table(s, d, "lineitem").select("l_linenumber", c.alias("c"))
+    return li.groupBy("l_linenumber").agg(F.round(F.avg("c.p_one"), 6).alias("p"), F.sum(F.col("c.prediction").cast("long")).alias("n_one"), F.round(F.avg("c.mass"), 6).alias("mass"))
+
+
+def condition_tau(s: SparkSession, d: str) -> DataFrame:
+    """Kendall's tau of each model's final ranking before and after the middle of the time."""
+    e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    mid = e.select(F.expr("timestamp_micros(cast((unix_micros(min(ts)) + unix_micros(max(ts))) / 2 as bigint))").alias("mid"))
+    e = e.join(F.broadcast(mid)).groupBy((F.col("ts") >= F.col("mid")).cast("int").alias("late"), (F.col("user_id") % 4).cast("int").alias("model"), F.col("user_id").alias("trial"), F.col("event_type").alias("feature")).agg(F.round(F.sum("value"), 6).alias("score"))
+    m = R.rank_items(e, ["late", "model", "trial"], "feature", "score").groupBy("late", "model", "feature").agg(F.round(F.avg("borda"), 9).alias("mean_borda"))
+    r = R.average_ranks(m, ["late", "model"], "mean_borda").withColumn("unit", F.concat_ws(":", "model", "late"))
+    t = R.tau_b(r, "unit", "feature", "avg_rank").where("substring_index(unit_a, ':', 1) = substring_index(unit_b, ':', 1)")
+    return t.select(F.substring_index("unit_a", ":", 1).cast("int").alias("model"), F.round("tau", 6).alias("tau"))
+
+
+def long_table_checks(s: SparkSession, d: str) -> DataFrame:
+    """What is wrong with a long table of rankings, in one pass: keys that repeat, items
+    that lack, scores that don't follow from ranks; one row a rule with its number of cases."""
+    r = _ranks(s, d)
+    # every fifth trial of model 2 lost a row, one of model 3 has a wrong score, one of model 1 comes twice
+    r = r.where("not (model = 2 and trial % 5 = 0 and rank = 1)").withColumn("borda", F.when((F.col("model") == 3) & (F.col("trial") % 25 == 3), 0.9).otherwise(F.col("borda")))
+    r = r.select("model", "trial", "feature", "rank", "k", "borda").unionByName(r.where("model = 1 and trial % 25 = 1").select("model", "trial", "feature", "rank", "k", "borda"))
+    return R.check_rankings(r, "model", "trial", "feature", "rank", "k", "borda")
+
+
+def valid_once(s: SparkSession, d: str) -> DataFrame:
+    """Trials with other than one valid record under the expected hash: none, several, or
+    several that disagree."""
+    o = table(s, d, "orders").select((F.col("o_custkey") % 4).cast("int").alias("model"), (F.col("o_orderkey") % 500).alias("trial"), (F.col("o_totalprice") > 150000).alias("valid"), F.concat(F.lit("p"), F.col("o_orderkey") % 3).alias("protocol"), F.col("o_orderpriority").alias("ranking"))
+    want = s.range(500).select(F.col("id").alias("trial")).join(F.broadcast(s.range(4).select(F.col("id").cast("int").alias("model"))))
+    return R.select_valid(o, want, ["model", "trial"], F.col("valid") & (F.col("protocol") == "p1"), "ranking").where("verdict <> 'ok'")
+
+
+def counterbalanced(s: SparkSession, d: str) -> DataFrame:
+    """Order of the two conditions of each trial: odd ones begin without data."""
+    t = table(s, d, "events").select(F.col("user_id").alias("trial")).distinct()
+    odd = F.col("trial") % 2 == 1
+    return t.select("trial", F.when(odd, "no_data").otherwise("with_data").alias("first"), F.when(odd, "with_data").otherwise("no_data").alias("second"))
+
+
+def report_ci(s: SparkSession, d: str) -> DataFrame:
+    """Mean score of each feature with its interval by model, side by side."""
+    b = R.bootstrap_mean(_ranks(s, d), ["model", "feature"], "trial", "borda", REPLICATES, "20260909")
+    b = b.select("model", "feature", F.format_string("%.3f [%.3f, %.3f]", "mean", "ci_lower", "ci_upper").alias("v"))
+    w = b.groupBy("feature").pivot("model", [0, 1, 2, 3]).agg(F.first("v"))
+    return w.select("feature", *[F.col(str(i)).alias(f"model_{i}") for i in range(4)])
 
 
-QUERIES = {f.__name__: f for f in [classification_metrics, best_config_confusion, threshold_sweep, crosstab, conditional_counts, value_counts_reindex, composition_share, fold_summary, block_rollup, best_per_family, union_leaderboard, condition_gain, borda_summary, average_rank, kendall_pairwise, kendall_summary, kendall_intermodel, bootstrap_ci, pivot_report, validate_ranking, paired_delta, paired_delta_ci, kendall_summary_ci, median_impute, standard_scale, robust_scale, drop_constant_columns, embedding_collision_guard, dense_topk, linear_shap, work_plan_remaining, id_list_missing, offset_limit, mark_join, usage_cost, conditional_prob]}
+QUERIES = {f.__name__: f for f in [classification_metrics, best_config_confusion, threshold_sweep, crosstab, conditional_counts, value_counts_reindex, composition_share, fold_summary, block_rollup, best_per_family, union_leaderboard, condition_gain, borda_summary, average_rank, kendall_pairwise, kendall_summary, kendall_intermodel, bootstrap_ci, pivot_report, validate_ranking, paired_delta, paired_delta_ci, kendall_summary_ci, median_impute, standard_scale, robust_scale, drop_constant_columns, embedding_collision_guard, dense_topk, linear_shap, work_plan_remaining, id_list_missing, offset_limit, mark_join, usage_cost, conditional_prob, condition_tau, long_table_checks, valid_once, counterbalanced, report_ci]}
 
 _LAB = "l AS (SELECT l_linestatus || '/' || l_linenumber AS config, CAST(l_returnflag = 'R' AS INT) AS truth, CAST(l_discount > 0.05 AS INT) AS pred, l_quantity / 50 AS score FROM lineitem)"
 _CNT = "c AS (SELECT config, count(*) AS n, sum(truth * pred) AS tp, sum((1 - truth) * pred) AS fp, sum(truth * (1 - pred)) AS fn, sum((1 - truth) * (1 - pred)) AS tn FROM l GROUP BY config), m AS (SELECT *, (CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END + CASE WHEN 2 * tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0 END) / 2 AS f1 FROM c)"
@@ -304,5 +350,20 @@ SQL = {
     "offset_limit": "SELECT o_orderkey, round(o_totalprice, 2) AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10",
     "mark_join": "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has_orders FROM customer",
     "usage_cost": "WITH p AS (SELECT * FROM (VALUES ('A', 10.0, 1.0, 50.0), ('R', 2.0, 0.5, 8.0)) t(l_returnflag, i, c, o)) SELECT l_returnflag, round(sum(((l_quantity * 60) * i + l_quantity * 40 * c + l_linenumber * 10 * o) / 1e6), 6) AS cost, count(*) AS calls FROM lineitem LEFT JOIN p USING (l_returnflag) GROUP BY 1",
-    "conditional_prob": "WITH x AS (SELECT l_linenumber, -l_discount * 10 AS a, CASE WHEN l_tax > 0.01 THEN -l_tax * 20 END AS b FROM lineitem), y AS (SELECT l_linenumber, exp(a) / (exp(a) + exp(coalesce(b, least(a, -8.0)))) AS p FROM x) SELECT l_linenumber, round(avg(p), 6) AS p, sum(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END) AS n_one FROM y GROUP BY 1",
+    "conditional_prob": """WITH x AS (SELECT l_linenumber, -l_discount * 10 AS a, -l_tax * 20 AS z, l_tax > 0.01 AS has0, l_linenumber <> 7 AS has1, l_linenumber = 2 AS has02 FROM lineitem),
+      y AS (SELECT l_linenumber, CASE WHEN has1 THEN exp(a) ELSE 0 END + exp(a - 1.5) AS r1, CASE WHEN has0 OR has02 THEN CASE WHEN has0 THEN exp(z) ELSE 0 END + CASE WHEN has02 THEN exp(z - 2) ELSE 0 END ELSE exp(least(CASE WHEN has1 THEN a ELSE 0 END, a - 1.5, z - 3)) END AS r0 FROM x)
+      SELECT l_linenumber, round(avg(r1 / (r0 + r1)), 6) AS p, sum(CASE WHEN r1 >= r0 THEN 1 ELSE 0 END) AS n_one, round(avg(r0 + r1), 6) AS mass FROM y GROUP BY 1""",
+    "condition_tau": """WITH mid AS (SELECT make_timestamp(CAST(floor((epoch_us(min(ts)) + epoch_us(max(ts))) / 2) AS BIGINT)) AS m FROM events),
+      e AS (SELECT CAST(ts >= m AS INT) AS late, CAST(user_id % 4 AS INT) AS model, user_id AS trial, event_type AS feature, round(sum(value), 6) AS score FROM events, mid GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY late, model, trial ORDER BY score DESC, feature) AS rank, count(*) OVER (PARTITION BY late, model, trial) AS k FROM e),
+      m AS (SELECT late, model, feature, round(avg((k - rank) / nullif(k - 1, 0)), 9) AS b FROM r GROUP BY ALL), f AS (SELECT *, rank() OVER (PARTITION BY late, model ORDER BY b DESC) + (count(*) OVER (PARTITION BY late, model, b) - 1) / 2.0 AS a FROM m),
+      p AS (SELECT x.late, x.model, x.feature AS i, y.feature AS j, sign(x.a - y.a) AS s FROM f x JOIN f y ON x.late = y.late AND x.model = y.model AND x.feature < y.feature)
+      SELECT x.model, round(sum(x.s * y.s) / sqrt(nullif(sum(abs(x.s)) * sum(abs(y.s)), 0)), 6) AS tau FROM p x JOIN p y ON x.model = y.model AND x.i = y.i AND x.j = y.j AND x.late = 0 AND y.late = 1 GROUP BY 1""",
+    "long_table_checks": f"""WITH {_RANKS}, q AS (SELECT model, trial, feature, rank, k, CASE WHEN model = 3 AND trial % 25 = 3 THEN 0.9 ELSE borda END AS borda FROM rk WHERE NOT (model = 2 AND trial % 5 = 0 AND rank = 1)),
+      t AS (SELECT * FROM q UNION ALL SELECT * FROM q WHERE model = 1 AND trial % 25 = 1), g AS (SELECT model, trial, count(*) AS n, count(DISTINCT feature) AS d, max(k) AS k FROM t GROUP BY 1, 2)
+      SELECT 'repeated_key' AS rule, (SELECT count(*) FROM (SELECT 1 FROM t GROUP BY model, trial, feature HAVING count(*) > 1)) AS n UNION ALL SELECT 'missing_item', (SELECT count(*) FROM g WHERE d <> k) UNION ALL SELECT 'score', (SELECT count(*) FROM t WHERE abs(borda - (k - rank) / (k - 1)) > 1e-8)""",
+    "valid_once": """WITH o AS (SELECT CAST(o_custkey % 4 AS INT) AS model, o_orderkey % 500 AS trial, o_orderpriority AS ranking FROM orders WHERE o_totalprice > 150000 AND o_orderkey % 3 = 1),
+      w AS (SELECT CAST(m AS INT) AS model, t AS trial FROM range(4) a(m), range(500) b(t)), g AS (SELECT w.model, w.trial, count(ranking) AS n, count(DISTINCT ranking) AS d FROM w LEFT JOIN o ON o.model = w.model AND o.trial = w.trial GROUP BY 1, 2)
+      SELECT model, trial, n, CASE WHEN n = 0 THEN 'missing' WHEN d > 1 THEN 'conflicting' ELSE 'repeated' END AS verdict FROM g WHERE n <> 1""",
+    "counterbalanced": "SELECT DISTINCT user_id AS trial, CASE WHEN user_id % 2 = 1 THEN 'no_data' ELSE 'with_data' END AS first, CASE WHEN user_id % 2 = 1 THEN 'with_data' ELSE 'no_data' END AS second FROM events",
 }
