@@ -95,7 +95,7 @@ def verification_flags(flags: Column, row_sanity: Column, identity: Column, note
     return F.concat(flags, F.filter(F.array(a, b), lambda x: x.isNotNull()))
 
 
-def assemble_records(compounds: DataFrame, cations: DataFrame, reasoning: DataFrame, dossiers: DataFrame | None = None) -> DataFrame:
+def assemble_records(compounds: DataFrame, cations: DataFrame, reasoning: DataFrame, dossiers: DataFrame | None = None, glossary: DataFrame | None = None) -> DataFrame:
     """One flat record a compound.
 
     ``compounds``: paper_id, compound_id, labels_in_paper, compound_name_reported,
@@ -103,7 +103,8 @@ def assemble_records(compounds: DataFrame, cations: DataFrame, reasoning: DataFr
     then row id). ``cations`` and ``reasoning``: the last row of a compound likewise.
     ``dossiers``: paper_id, compound_id, category (cation, connectivity, synthesis),
     evidence_text, source_ids, and an order column n of which the last counts;
-    without them, the evidence that the other tables carry.
+    without them, the evidence that the other tables carry. ``glossary``: compound_id
+    (once each), symbols, definitions (parallel lists).
 
     A compound without evidence gets an empty text and no sources; without
     reasoning, label Unknown and status insufficient. A label without sufficient
@@ -125,10 +126,14 @@ def assemble_records(compounds: DataFrame, cations: DataFrame, reasoning: DataFr
         r = r.select("*", *[F.col(k)[f].alias(c) for k, pair in evidence.items() for f, c in zip(("evidence_text", "source_ids"), pair)])
     else:
         r = r.withColumns({"synthesis_evidence_text": F.lit(None).cast("string"), "synthesis_source": F.lit(None).cast("array<string>")})
+    if glossary is not None:
+        r = join_unique(r, glossary.select("compound_id", X.formatted_pairs(F.col("symbols"), F.col("definitions")).alias("formula_abbreviation_glossary")), "compound_id")
+    else:
+        r = r.withColumn("formula_abbreviation_glossary", F.lit(None).cast("string"))
     text, many = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c), lambda c: F.coalesce(F.col(c), none).alias(c)
     sure = F.col("dimensionality_evidence_status") == "sufficient"
     return r.select(
-        "paper_id", "compound_id", X.joined_labels(F.col("labels_in_paper")).alias("label_in_paper"), "compound_name_reported", "compound_formula_reported",
+        "paper_id", "compound_id", X.joined_labels(F.col("labels_in_paper")).alias("label_in_paper"), "compound_name_reported", "compound_formula_reported", "formula_abbreviation_glossary",
         *[many(c) for c in names[:3]], F.transform(F.coalesce(names[3], none), lambda x: F.coalesce(x, F.lit("not_reported"))).alias(names[3]),
         text("cation_evidence_text"), many("cation_source"), "sb_oxidation_state_reported", many("halides_present"), many("halides_bonded_to_sb"), "sb_halide_unit_reported",
         text("sb_halide_connectivity_evidence_text"), many("connectivity_source"),

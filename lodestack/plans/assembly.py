@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import assembly as A
+from ..operators.metrics import keep_last
 from ..operators.skew import ranked
 from ..sources import table
 
@@ -45,7 +46,10 @@ def source_messages(s: SparkSession, d: str) -> DataFrame:
 
 
 def assembled(s: SparkSession, d: str) -> DataFrame:
-    return A.assemble_records(table(s, d, "compound_registry"), table(s, d, "cation_records"), table(s, d, "dimensionality_reasoning"))
+    cat = table(s, d, "cation_records")
+    last = keep_last(cat.select("compound_id", "cation_abbreviation_reported", "cation_formula_explicit", "cation_row_id").where("compound_id is not null"), ["compound_id"], ["cation_row_id"])
+    glossary = last.select("compound_id", F.col("cation_abbreviation_reported").alias("symbols"), F.col("cation_formula_explicit").alias("definitions"))
+    return A.assemble_records(table(s, d, "compound_registry"), cat, table(s, d, "dimensionality_reasoning"), glossary=glossary)
 
 
 def assemble_record(s: SparkSession, d: str) -> DataFrame:
@@ -202,11 +206,13 @@ SQL = {
       WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT source_id FROM document_units WHERE source_id IS NOT NULL)
       UNION ALL SELECT record_id, compound_id || ': not present in compound registry' FROM compound_records WHERE compound_id NOT IN (SELECT compound_id FROM compound_registry WHERE compound_id IS NOT NULL)""",
     "assemble_record": f"""WITH g AS (SELECT * FROM compound_registry WHERE compound_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY compound_id ORDER BY created_at DESC NULLS LAST, registry_row_id DESC) = 1),
-      c AS (SELECT * FROM cation_records QUALIFY row_number() OVER (PARTITION BY compound_id ORDER BY created_at DESC NULLS LAST, cation_row_id DESC) = 1), m AS (SELECT * FROM dimensionality_reasoning QUALIFY row_number() OVER (PARTITION BY compound_id ORDER BY created_at DESC NULLS LAST, dim_row_id DESC) = 1)
-      SELECT g.paper_id, g.compound_id, nullif(array_to_string(labels_in_paper, ', '), '') AS label_in_paper, compound_name_reported, compound_formula_reported, {', '.join(_P.format(c, '-') for c in _LISTS[:3])}, {_P.format('cation_formula_status', 'not_reported')}, coalesce(cation_evidence_text, '') AS cation_evidence_text, {_P.format('cation_source', '-')},
+      c AS (SELECT * FROM cation_records QUALIFY row_number() OVER (PARTITION BY compound_id ORDER BY created_at DESC NULLS LAST, cation_row_id DESC) = 1), m AS (SELECT * FROM dimensionality_reasoning QUALIFY row_number() OVER (PARTITION BY compound_id ORDER BY created_at DESC NULLS LAST, dim_row_id DESC) = 1),
+      y AS (SELECT compound_id, cation_abbreviation_reported AS a, cation_formula_explicit AS f FROM cation_records WHERE compound_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY compound_id ORDER BY cation_row_id DESC) = 1),
+      z AS (SELECT compound_id, string_agg(a || ' = ' || coalesce(f, '[NOT DEFINED IN EVIDENCE]'), '; ' ORDER BY i) AS formula_abbreviation_glossary FROM (SELECT compound_id, unnest(a) AS a, unnest(f) AS f, unnest(range(len(a))) AS i FROM y) WHERE a IS NOT NULL GROUP BY 1)
+      SELECT g.paper_id, g.compound_id, nullif(array_to_string(labels_in_paper, ', '), '') AS label_in_paper, compound_name_reported, compound_formula_reported, formula_abbreviation_glossary, {', '.join(_P.format(c, '-') for c in _LISTS[:3])}, {_P.format('cation_formula_status', 'not_reported')}, coalesce(cation_evidence_text, '') AS cation_evidence_text, {_P.format('cation_source', '-')},
       sb_oxidation_state_reported, {_P.format('halides_present', '-')}, {_P.format('halides_bonded_to_sb', '-')}, sb_halide_unit_reported, coalesce(sb_halide_connectivity_evidence_text, '') AS sb_halide_connectivity_evidence_text, {_P.format('connectivity_source', '-')},
       coalesce(CASE WHEN dimensionality_evidence_status = 'sufficient' THEN sb_halide_dimensionality_llm END, 'Unknown') AS sb_halide_dimensionality_llm, m.dimensionality_reasoning, coalesce(dimensionality_evidence_status, 'insufficient') AS dimensionality_evidence_status, dimensionality_review_reason,
-      coalesce(nullif(compound_name_reported, ''), g.compound_id) AS synthesis_target_compound, '' AS synthesis_evidence_text, '' AS synthesis_source FROM g LEFT JOIN c ON c.compound_id = g.compound_id LEFT JOIN m ON m.compound_id = g.compound_id""",
+      coalesce(nullif(compound_name_reported, ''), g.compound_id) AS synthesis_target_compound, '' AS synthesis_evidence_text, '' AS synthesis_source FROM g LEFT JOIN c ON c.compound_id = g.compound_id LEFT JOIN m ON m.compound_id = g.compound_id LEFT JOIN z ON z.compound_id = g.compound_id""",
     "reading_order": "SELECT unit_id, row_number() OVER (PARTITION BY paper_id ORDER BY page, unit_type <> 'table_row', round_even(bbox[2], 1) NULLS FIRST, round_even(bbox[1], 1) NULLS FIRST, unit_id) - 1 AS place FROM document_units",
     "grouped_lists": "SELECT paper_id, page, CAST(count(*) AS INT) AS n_units, string_agg(CAST(unit_id AS VARCHAR), ',' ORDER BY order_index, unit_id) AS unit_ids FROM document_units GROUP BY 1, 2",
     "paper_discovery": "WITH n AS (SELECT DISTINCT lower(paper_id) || '_' || doc_type || CASE WHEN page % 3 = 0 THEN '_v2' ELSE '' END || '.pdf' AS name FROM document_units), f AS (SELECT upper(regexp_extract(name, '([Pp][0-9]{3,5})', 1)) AS paper_id, name FROM n) SELECT paper_id, list(name ORDER BY length(name), name)[1] AS name FROM f WHERE paper_id <> '' GROUP BY 1",

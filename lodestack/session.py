@@ -35,8 +35,10 @@ def build_session(app: str = "lodestack", master: str | None = None, **conf: str
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is
-    made, set as the session's checkpoint folder, and removed at exit.
+    Only where the session names none and runs in one process (local tests) a
+    temporary folder is made, set as the session's checkpoint folder, and removed at
+    exit. On a cluster a folder of the driver's machine would be lost to the
+    executors, so the missing setting is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
@@ -44,6 +46,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return jdir.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="lodestack-")
     atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(root)
