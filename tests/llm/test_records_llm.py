@@ -171,3 +171,10 @@ def test_mixture_shares_and_caps(spark, monkeypatch):
     got = copies_.collect()
     assert len(got) == 3000 and all(r["copies"] <= cap.get(r["source"], 0) for r in got)
     assert mixing.mix_report(df.limit(0), targets)[1].where("uses > 0").count() == 0
+
+
+def test_found_values_are_the_same_by_join(spark, monkeypatch):
+    get = lambda: sorted(tuple(r) for r in plans.p5_found(spark, SMALL).collect())
+    near = get()
+    monkeypatch.setattr(vocab, "BROADCAST_KEYS", 0)
+    assert near and get() == near
